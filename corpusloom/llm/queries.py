@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import packing, splitting
+from . import neighbours, packing, splitting
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -18,6 +18,10 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_chunks(table(spark, d, "code_chunks"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.close_pairs(table(spark, d, "records"))
+
+
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"))
 
@@ -32,5 +36,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p6_found": """
+WITH u AS (SELECT id, min(vector) AS v FROM records
+           WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(vector, lambda x: x <> 0)) > 0
+           GROUP BY id),
+p AS (SELECT a.id AS i, b.id AS j, list_cosine_similarity(a.v::DOUBLE[], b.v::DOUBLE[]) AS s FROM u a JOIN u b ON a.id <> b.id),
+r AS (SELECT i, j, s, row_number() OVER (PARTITION BY i ORDER BY s DESC, j) AS k FROM p)
+SELECT DISTINCT least(i, j) AS id_a, greatest(i, j) AS id_b FROM r WHERE k <= 5 AND s >= 0.8""",
         "p2_found": "SELECT DISTINCT id FROM code_chunks WHERE length(content) > 3000",
     }
