@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import neighbours, packing, splitting
+from . import language, leakage, neighbours, packing, splitting
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -30,6 +30,26 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_report(packing.pack(table(spark, d, "documents")))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.mislabelled(table(spark, d, "documents"), table(spark, d, "lang_samples"))
+
+
+def p10_segments(spark: SparkSession, d: str) -> DataFrame:
+    return language.segments(table(spark, d, "documents"), table(spark, d, "lang_samples"))
+
+
+def p10_documents(spark: SparkSession, d: str) -> DataFrame:
+    return language.document_languages(table(spark, d, "documents"), table(spark, d, "lang_samples"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
@@ -43,5 +63,11 @@ WITH u AS (SELECT id, min(vector) AS v FROM records
 p AS (SELECT a.id AS i, b.id AS j, list_cosine_similarity(a.v::DOUBLE[], b.v::DOUBLE[]) AS s FROM u a JOIN u b ON a.id <> b.id),
 r AS (SELECT i, j, s, row_number() OVER (PARTITION BY i ORDER BY s DESC, j) AS k FROM p)
 SELECT DISTINCT least(i, j) AS id_a, greatest(i, j) AS id_b FROM r WHERE k <= 5 AND s >= 0.8""",
+        "p9_found": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(nfc_normalize(text), '[\x{AD}\x{200B}-\x{200F}\x{2060}-\x{2064}\x{FEFF}]', '', 'g')), '[\p{L}\p{N}]+') AS w FROM documents),
+e AS (SELECT item_id, regexp_extract_all(lower(nfc_normalize(text)), '[\p{L}\p{N}]+') AS w FROM eval_items),
+ng AS (SELECT item_id, array_to_string(w[k : k + 9], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 8)) AS k FROM e)),
+dg AS (SELECT doc_id, array_to_string(w[k : k + 9], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 8)) AS k FROM d))
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ng USING (g)""",
         "p2_found": "SELECT DISTINCT id FROM code_chunks WHERE length(content) > 3000",
     }
