@@ -15,7 +15,7 @@ WORDS, EDITS, Q = 10, 1, 8
 ITEM_BYTES = 32 << 20
 
 _RUN = re.compile(r"[^\W_]+")
-_HIDDEN = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿\U000e0001-\U000e007f]")
+_HIDDEN = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff\U000e0001-\U000e007f]")
 
 
 def normal(text: str) -> bytes:

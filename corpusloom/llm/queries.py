@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import language, leakage, neighbours, packing, splitting
+from . import language, leakage, neardup, neighbours, packing, splitting
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -18,6 +18,14 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_chunks(table(spark, d, "code_chunks"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.similar_pairs(table(spark, d, "records"))
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.groups(table(spark, d, "records"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.close_pairs(table(spark, d, "records"))
 
@@ -63,6 +71,14 @@ WITH u AS (SELECT id, min(vector) AS v FROM records
 p AS (SELECT a.id AS i, b.id AS j, list_cosine_similarity(a.v::DOUBLE[], b.v::DOUBLE[]) AS s FROM u a JOIN u b ON a.id <> b.id),
 r AS (SELECT i, j, s, row_number() OVER (PARTITION BY i ORDER BY s DESC, j) AS k FROM p)
 SELECT DISTINCT least(i, j) AS id_a, greatest(i, j) AS id_b FROM r WHERE k <= 5 AND s >= 0.8""",
+        "p4_found": r"""
+WITH t AS (SELECT DISTINCT id, regexp_extract_all(lower(CASE WHEN regexp_matches(coalesce(content, ''), '\S') THEN content ELSE json_extract_string(metadata, '$.summary') END), '[\p{L}\p{N}]+') AS w
+           FROM records WHERE metadata IS NULL OR json_valid(metadata) OR regexp_matches(coalesce(content, ''), '\S')),
+s AS (SELECT DISTINCT id, hash(w) AS h, array_to_string(w[k : k + 2], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS k FROM t)),
+n AS (SELECT id, h, count(*) AS c FROM s GROUP BY id, h),
+p AS (SELECT a.id AS i, a.h AS x, b.id AS j, b.h AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY ALL)
+SELECT DISTINCT i AS id_a, j AS id_b FROM p JOIN n u ON u.id = i AND u.h = x JOIN n v ON v.id = j AND v.h = y
+WHERE k >= 0.7 * (u.c + v.c - k) - 1e-9""",
         "p9_found": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(nfc_normalize(text), '[\x{AD}\x{200B}-\x{200F}\x{2060}-\x{2064}\x{FEFF}]', '', 'g')), '[\p{L}\p{N}]+') AS w FROM documents),
 e AS (SELECT item_id, regexp_extract_all(lower(nfc_normalize(text)), '[\p{L}\p{N}]+') AS w FROM eval_items),
