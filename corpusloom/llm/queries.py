@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import language, leakage, neardup, neighbours, packing, splitting
+from . import credentials, language, leakage, neardup, neighbours, packing, splitting
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -30,6 +30,14 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.close_pairs(table(spark, d, "records"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.lines({n: table(spark, d, n) for n in ("code_chunks", "records")})
+
+
+def p7_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.redacted({n: table(spark, d, n) for n in ("code_chunks", "records")})
+
+
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"))
 
