@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import credentials, language, leakage, neardup, neighbours, packing, splitting
+from . import credentials, docpairs, language, leakage, neardup, neighbours, packing, splitting
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -18,6 +18,14 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_chunks(table(spark, d, "code_chunks"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return docpairs.documented(table(spark, d, "graph_records"), table(spark, d, "code_chunks"))
+
+
+def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return docpairs.pairs(table(spark, d, "graph_records"), table(spark, d, "code_chunks"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.similar_pairs(table(spark, d, "records"))
 
