@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import credentials, docpairs, language, leakage, neardup, neighbours, packing, splitting
+from . import credentials, docpairs, handwritten, language, leakage, neardup, neighbours, packing, splitting
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.not_handwritten(table(spark, d, "code_files"))
+
+
+def p1_labels(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.labels(table(spark, d, "code_files"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
