@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import credentials, docpairs, handwritten, language, leakage, neardup, neighbours, packing, splitting
+from . import credentials, docpairs, handwritten, language, leakage, neardup, neighbours, packing, splitting, syntax
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -42,6 +42,14 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.groups(table(spark, d, "records"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.invalid(table(spark, d, "code_files"))
+
+
+def p5_rates(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.rates(table(spark, d, "code_files"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.close_pairs(table(spark, d, "records"))
 
