@@ -1 +1 @@
-
+"""File sources: directory scans and manifests."""

@@ -1 +1 @@
-
+"""File changes as batches and as streams."""
