@@ -42,8 +42,9 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2", same
     to find itself. Null vectors and ids give no rows.
     """
     spark = vectors.sparkSession
-    rows = [(r[0], r[1]) for r in queries.select(F.col("id").cast("long"), "v").filter("id is not null and v is not null").orderBy("id").toLocalIterator()]
-    src = vectors.select(F.col("id").cast("long").alias("id"), "v").filter("id is not null and v is not null")
+    kind = dict(vectors.dtypes)["id"]
+    rows = [(r[0], r[1]) for r in queries.select("id", "v").filter("id is not null and v is not null").orderBy("id").toLocalIterator()]
+    src = vectors.select("id", "v").filter("id is not null and v is not null")
     found = None
     for at in range(0, max(len(rows), 1), QUERY_BLOCK):
         block = rows[at : at + QUERY_BLOCK]
@@ -58,7 +59,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2", same
                 n = b.num_rows
                 if not n:
                     continue
-                i = np.asarray(b.column(0))
+                i = np.array(b.column(0).to_pylist())
                 x = np.asarray(b.column(1).flatten(), np.float64).reshape(n, -1)
                 if metric == "l2":
                     s = np.stack([np.sqrt(((x - v) ** 2).sum(1)) for v in q])
@@ -74,12 +75,12 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2", same
             if keep_s is not None:
                 ok = np.isfinite(keep_s)
                 who = np.repeat(qi, keep_s.shape[1]).reshape(keep_s.shape)
-                yield pa.RecordBatch.from_arrays([pa.array(who[ok]), pa.array(keep_i[ok]), pa.array(keep_s[ok] if metric == "l2" else -keep_s[ok])], ["query_id", "id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(who[ok], b.column(0).type), pa.array(keep_i[ok], b.column(0).type), pa.array(keep_s[ok] if metric == "l2" else -keep_s[ok])], ["query_id", "id", "score"])
 
-        part = src.mapInArrow(best, "query_id long, id long, score double")
+        part = src.mapInArrow(best, f"query_id {kind}, id {kind}, score double")
         found = part if found is None else found.unionByName(part)
     if found is None:
-        return spark.createDataFrame([], "query_id long, id long, score double, rank int")
+        return spark.createDataFrame([], f"query_id {kind}, id {kind}, score double, rank int")
     score = F.round("score", 9)
     order = [score, F.col("id")] if metric == "l2" else [score.desc(), F.col("id")]
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))

@@ -419,10 +419,6 @@ def knn_ivf(s, d):
     return vectors.ivf_knn(v, v.filter("id % 100 = 0"), 10)
 
 
-@query(_knn_sql(_COS, "round(s, 9) DESC").replace("WHERE rank <= 10", "WHERE rank <= 10 AND s >= 0.9"))
-def near_dup_pairs(s, d):
-    v = _vecs(s, d)
-    return vectors.knn(v, v.filter("id % 100 = 0"), 10, "cosine").filter("score >= 0.9")
 
 
 _Q8 = "list_transform({0}, lambda x: round(x::DOUBLE / sqrt(list_sum(list_transform({0}, lambda y: y::DOUBLE * y::DOUBLE))) * 127)::INT)"
@@ -467,12 +463,6 @@ def summary_exact_cache(s, d):
     return r.select("id", "h").distinct().join(cache, "h").select("id", "summary")
 
 
-@query(_knn_sql(_COS, "round(s, 9) DESC", k=1).replace("WHERE rank <= 1", "WHERE rank <= 1 AND s > 0.98"))
-def summary_semantic_cache(s, d):
-    v = _vecs(s, d)
-    return vectors.knn(v, v.filter("id % 100 = 0"), 1, "cosine").filter("score > 0.98")
-
-
 # -- lexical --------------------------------------------------------------------------------------------
 
 _TOK = "list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+'), lambda t: octet_length(encode(t)) < 40)"
@@ -595,6 +585,28 @@ def _hybrid(s, d, k):
     return fusion.rrf(near, found, k)
 
 
+def _record_knn_sql(k: int, least: str) -> str:
+    return f"""WITH v AS {_RV} SELECT query_id, id, round(s, 6) AS score, rank::INT AS rank FROM (SELECT query_id, id, s, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, id) AS rank FROM
+(SELECT q.id AS query_id, e.id AS id, list_cosine_similarity(e.v, q.v) AS s FROM v e JOIN v q ON md5(q.id) LIKE '0%' AND q.id <> e.id)) WHERE rank <= {k} AND s {least}"""
+
+
+def _record_knn(s, d, k):
+    v = _record_vectors(s, d)
+    return vectors.knn(v, v.filter(F.startswith(F.md5("id"), F.lit("0"))), k, "cosine")
+
+
+@query(_record_knn_sql(10, ">= 0.9"))
+def near_dup_pairs(s, d):
+    """Searches: the query set is the sixteenth of the ids whose digest begins with 0, against all rows."""
+    return _record_knn(s, d, 10).filter("score >= 0.9")
+
+
+@query(_record_knn_sql(1, "> 0.98"))
+def summary_semantic_cache(s, d):
+    """The nearest other record of each asked one, if it is similar enough to share its summary."""
+    return _record_knn(s, d, 1).filter("score > 0.98")
+
+
 @query(_hybrid_sql(10))
 def hybrid_rrf(s, d):
     return _hybrid(s, d, 10)
@@ -664,11 +676,11 @@ def sync_diff(s, d):
     return analysis.sync_diff(table(s, d, "code_files").withColumnRenamed("updated_at", "mtime"), table(s, d, "code_chunks"), ["project_id", "path"])
 
 
-@query("""SELECT package, array_to_string(list_sort(list(DISTINCT path)), '|') AS files FROM (SELECT path, dep AS package FROM (SELECT path, unnest(relationships) AS dep FROM code_chunks WHERE path LIKE '%.go') WHERE contains(dep, '.'))
-WHERE package NOT IN ('state.example/buffer_core') GROUP BY package""")
+@query(f"""SELECT package, array_to_string(list_sort(list(DISTINCT path)), '|') AS files FROM (SELECT path, unnest({_GO_SQL}) AS package FROM code_files WHERE path LIKE '%.go') WHERE contains(package, '.')
+AND package NOT IN ('state.example/slot') GROUP BY package""")
 def undeclared_deps(s, d):
-    imports = table(s, d, "code_chunks").filter("path like '%.go'").select("path", F.explode("relationships").alias("dep"))
-    return analysis.undeclared(imports, ["state.example/buffer_core"], "go").select("package", F.array_join("files", "|").alias("files"))
+    imports = table(s, d, "code_files").filter("path like '%.go'").select("path", F.explode(code.imports_go(F.col("content"))).alias("dep"))
+    return analysis.undeclared(imports, ["state.example/slot"], "go").select("package", F.array_join("files", "|").alias("files"))
 
 
 _EDGE = """SELECT DISTINCT CASE WHEN len(p) > 2 AND p[1] IN ('apps', 'packages') THEN p[1] || '/' || p[2] ELSE p[1] END AS src, dst FROM (SELECT string_split(path, '/') AS p, unnest(relationships) AS dst FROM code_chunks) WHERE len(p) >= 2"""
@@ -684,11 +696,11 @@ def package_mermaid(s, d):
     return package_edges(s, d).select(F.concat(F.lit('    "'), "src", F.lit('" --> "'), "dst", F.lit('"')).alias("line"))
 
 
-@query("""SELECT project_id, path, h AS content_hash, n AS copies FROM (SELECT project_id, path, h, count(*) OVER (PARTITION BY h) AS n FROM (SELECT DISTINCT project_id, path, sha256(content) AS h FROM code_files WHERE content <> '')) WHERE n > 1""")
+@query("""SELECT doc_id, h AS content_hash, n AS copies FROM (SELECT doc_id, h, count(*) OVER (PARTITION BY h) AS n FROM (SELECT doc_id, sha256(text) AS h FROM documents WHERE text <> '')) WHERE n > 1""")
 def duplicates_of(s, d):
-    f = table(s, d, "code_files").filter("content <> ''").select("project_id", "path", F.sha2("content", 256).alias("content_hash")).distinct()
+    f = table(s, d, "documents").filter("text <> ''").select("doc_id", F.sha2("text", 256).alias("content_hash"))
     n = f.groupBy("content_hash").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    return f.join(n, "content_hash").select("project_id", "path", "content_hash", "copies")
+    return f.join(n, "content_hash").select("doc_id", "content_hash", "copies")
 
 
 @query("""WITH f AS (SELECT DISTINCT id, path, symbols, relationships FROM code_chunks WHERE path = (SELECT min(path) FROM code_chunks WHERE path LIKE '%.ts')), r AS (SELECT DISTINCT unnest(relationships) AS dep FROM f),
@@ -743,11 +755,16 @@ def context_join(s, d):
     return joined.join(c.groupBy("project_id").agg(F.count(F.lit(1)).alias("contexts")), "project_id").select("project_id", F.md5("text").alias("digest"), "contexts")
 
 
-@query(f"""SELECT DISTINCT c.path, c.dep, r.id AS rule_id FROM (SELECT DISTINCT path, unnest(calls) AS dep FROM code_chunks) c JOIN {_REC} r ON r.type = 'distilled_summary' AND c.dep <> ''
+# one literal rule beside those of the table, so that some file breaks one
+_RULE = ("rule-0", "Loops use no slice and no filter. Forbidden: split")
+
+
+@query(f"""SELECT DISTINCT c.path, c.dep, r.id AS rule_id FROM (SELECT DISTINCT path, unnest(calls) AS dep FROM code_chunks) c JOIN (SELECT id, text FROM {_REC} WHERE type = 'distilled_summary' UNION ALL SELECT '{_RULE[0]}', '{_RULE[1]}') r ON c.dep <> ''
 AND (contains(lower(r.text), 'no ' || lower(c.dep)) OR contains(lower(r.text), 'forbidden: ' || lower(c.dep)))""")
 def rule_violations(s, d):
     c = table(s, d, "code_chunks").select("path", F.col("calls").alias("relationships"))
-    return analysis.rule_violations(c, _records(s, d).filter("type = 'distilled_summary'").select(F.col("id").alias("rule_id"), "text"))
+    rules = _records(s, d).filter("type = 'distilled_summary'").select(F.col("id").alias("rule_id"), "text").unionByName(s.createDataFrame([_RULE], "rule_id string, text string"))
+    return analysis.rule_violations(c, rules)
 
 
 @query("""SELECT DISTINCT dep, parent FROM (SELECT unnest(relationships) AS dep, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS parent FROM code_chunks)""")
@@ -759,6 +776,17 @@ def dependent_packages(s, d):
 
 _NAMED = "name IS NOT NULL AND trim(name, ' ') <> ''"
 _MEMBERS = f"(SELECT DISTINCT id, split_part(k, ':', 1) AS kind, regexp_replace(k, '^[^:]*:', '') AS member FROM (SELECT id, unnest(json_keys(structural_metadata)) AS k FROM graph_records WHERE {_NAMED} AND json_valid(structural_metadata)) WHERE contains(k, ':'))"
+# literal entities beside the table's, with an interface that one of two types satisfies
+_LITERAL = [("lit-1", "Store", "interface_type", '{"method:get": "()", "method:put": "(v)"}'), ("lit-2", "MemStore", "struct_type", '{"method:get": "()", "method:put": "(v)", "method:close": "()"}'), ("lit-3", "HalfStore", "class_declaration", '{"method:get": "()"}')]
+_ALL_NODES = "(SELECT id, name, node_type, structural_metadata FROM graph_records UNION ALL SELECT * FROM (VALUES " + ", ".join(str(r) for r in _LITERAL) + "))"
+_ALL_MEMBERS = _MEMBERS.replace("graph_records", _ALL_NODES)
+
+
+def _all_nodes(s, d):
+    g = table(s, d, "graph_records").select("id", "name", "node_type", "structural_metadata")
+    return g.unionByName(s.createDataFrame(_LITERAL, "id string, name string, node_type string, structural_metadata string"))
+
+
 _T, _I = ", ".join(f"'{t}'" for t in graph.TYPES), ", ".join(f"'{t}'" for t in graph.INTERFACES)
 
 
@@ -774,20 +802,20 @@ def graph_members(s, d):
 
 
 def _implements_sql(t: str, i: str) -> str:
-    return f"""WITH m AS (SELECT id, member FROM {_MEMBERS} WHERE kind = 'method'), k AS (SELECT DISTINCT id, node_type FROM graph_records),
+    return f"""WITH m AS (SELECT id, member FROM {_ALL_MEMBERS} WHERE kind = 'method'), k AS (SELECT DISTINCT id, node_type FROM {_ALL_NODES}),
 t AS (SELECT * FROM m WHERE id IN (SELECT id FROM k WHERE node_type IN ({t}))), i AS (SELECT * FROM m WHERE id IN (SELECT id FROM k WHERE node_type IN ({i})))
 SELECT type_id, h.interface_id FROM (SELECT t.id AS type_id, i.id AS interface_id, count(*) AS have FROM t JOIN i USING (member) GROUP BY ALL) h JOIN (SELECT id AS interface_id, count(*) AS need FROM i GROUP BY 1) n USING (interface_id) WHERE have = need AND type_id <> h.interface_id"""
 
 
 @query(_implements_sql(_T, _I))
 def implements(s, d):
-    return graph.implements(table(s, d, "graph_records"))
+    return graph.implements(_all_nodes(s, d))
 
 
 @query(_implements_sql(_T, _T))
 def implementations_of(s, d):
     """Types with all methods of another type: the division where types stand in for interfaces."""
-    return graph.implements(table(s, d, "graph_records"), graph.TYPES, graph.TYPES)
+    return graph.implements(_all_nodes(s, d), graph.TYPES, graph.TYPES)
 
 
 @query(f"SELECT member AS field, count(*) AS users FROM {_MEMBERS} WHERE kind = 'field' GROUP BY 1")

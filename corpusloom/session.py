@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,8 +29,23 @@ def build_session(app: str = "corpusloom", cores: str | int = "*", **conf: str)
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session, so that no path need be set on them."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        _shipped.add(app)
+        path = os.path.join(tempfile.mkdtemp(prefix="corpusloom-"), "corpusloom.zip")
+        with zipfile.PyZipFile(path, "w") as z:
+            z.writepy(os.path.dirname(os.path.abspath(__file__)))
+        spark.sparkContext.addPyFile(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a test-data directory."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
