@@ -36,8 +36,8 @@ def debounce(events: DataFrame, key: list[str], ts: str = "ts", quiet_ms: int =
 def debounce_stream(events: DataFrame, key: list[str], ts: str = "ts", quiet_ms: int = QUIET_MS, late: str = "10 seconds") -> DataFrame:
     """The same on a stream: session windows with a watermark."""
     src = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
-    # a session window ends quiet_ms after its last event, exclusively
-    return src.groupBy(F.session_window(ts, f"{quiet_ms + 1} milliseconds").alias("w"), *key).agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count(F.lit(1)).alias("n")).drop("w")
+    # sessions that touch are merged, so a gap of exactly quiet_ms does not end a burst here either
+    return src.groupBy(F.session_window(ts, f"{quiet_ms} milliseconds").alias("w"), *key).agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count(F.lit(1)).alias("n")).drop("w")
 
 
 def latest_change(events: DataFrame, key: list[str]) -> DataFrame:
@@ -66,8 +66,12 @@ def micro_batches(items: DataFrame, ts: str, order: list[str], seconds: int = 5,
     return items.withColumn("batch_start", slot).withColumn("batch_no", F.floor((F.row_number().over(w) - 1) / most).cast("int"))
 
 
-def _refill(tokens: float, last: float | None, now: float, rate: float, burst: float) -> float:
-    return burst if last is None else min(burst, tokens + (now - last) * rate)
+#: Buckets count in millionths of a token and times in microseconds, so that whole rates stay exact.
+TOKEN = 1e6
+
+
+def _refill(tokens: float, last: int | None, now: int, rate: float, burst: float) -> float:
+    return burst * TOKEN if last is None else min(burst * TOKEN, tokens + (now - last) * rate)
 
 
 def token_bucket(calls: DataFrame, key: str, ts: str, order: str, rate: float = RATE, burst: float = BURST) -> DataFrame:
@@ -76,22 +80,22 @@ def token_bucket(calls: DataFrame, key: str, ts: str, order: str, rate: float =
     The decision depends on all calls of a key before, so a key's calls pass one task in order, streamed
     through it in batches of sorted rows rather than gathered.
     """
-    src = calls.filter(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(order).cast("long").alias("call_id"), (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("at"))
+    src = calls.filter(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(order).cast("long").alias("call_id"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"))
     rows = src.repartition("key").sortWithinPartitions("key", "at", "call_id")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, tokens, last = None, burst, None
+        held, tokens, last = None, 0.0, None
         for f in frames:
             ok = []
             for k, now in zip(f["key"], f["at"]):
                 if k != held:
-                    held, tokens, last = k, burst, None
+                    held, tokens, last = k, 0.0, None
                 tokens, last = _refill(tokens, last, now, rate, burst), now
-                ok.append(tokens >= 1)
-                tokens -= ok[-1]
+                ok.append(tokens >= TOKEN)
+                tokens -= TOKEN * ok[-1]
             yield f.assign(allowed=ok)
 
-    return rows.mapInPandas(run, "key string, call_id long, at double, allowed boolean").select("key", "call_id", "allowed")
+    return rows.mapInPandas(run, "key string, call_id long, at long, allowed boolean").select("key", "call_id", "allowed")
 
 
 def token_bucket_stream(calls: DataFrame, key: str, ts: str, rate: float = RATE, burst: float = BURST) -> DataFrame:
@@ -101,20 +105,20 @@ def token_bucket_stream(calls: DataFrame, key: str, ts: str, rate: float = RATE,
         if state.hasTimedOut:
             state.remove()
             return
-        tokens, last = state.get if state.exists else (burst, None)
+        tokens, last = state.get if state.exists else (0.0, None)
         n = ok = 0
         f = pd.concat(list(frames))
-        for now in sorted(f["at"]):
+        for now in sorted(map(int, f["at"])):
             tokens, last = _refill(tokens, last, now, rate, burst), now
             n += 1
-            if tokens >= 1:
-                tokens, ok = tokens - 1, ok + 1
+            if tokens >= TOKEN:
+                tokens, ok = tokens - TOKEN, ok + 1
         state.update((tokens, last))
         state.setTimeoutDuration(600_000)
         yield pd.DataFrame({"key": [k[0]], "calls": [n], "allowed": [ok]})
 
-    src = calls.select(F.col(key).cast("string").alias("key"), (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("at"))
-    return src.groupBy("key").applyInPandasWithState(step, "key string, calls long, allowed long", "tokens double, last double", "update", "ProcessingTimeTimeout")
+    src = calls.select(F.col(key).cast("string").alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"))
+    return src.groupBy("key").applyInPandasWithState(step, "key string, calls long, allowed long", "tokens double, last long", "update", "ProcessingTimeTimeout")
 
 
 def idle_sessions(events: DataFrame, key: list[str], ts: str = "ts", idle_s: int = 600) -> DataFrame:
