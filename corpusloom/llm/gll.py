@@ -14,11 +14,17 @@ class Grammar:
     The text holds rules ``Name = ... ;`` with alternatives ``|``, groups and ``? * +``. Quoted words and
     names without a rule are terminals. ``%ASI`` passes where a semicolon may be left out: before a line
     break, a closing brace or the end. Several start rules are dialects that are recognised together.
+
+    Where a rule of ``memo`` is called, what it can make of the tokens ahead is kept by those tokens: source
+    text repeats the shapes of its statements, and each shape is recognised once.
     """
 
     END = "<end>"
 
-    def __init__(self, text: str, starts: Sequence[str]):
+    #: Windows of remembered shapes, in tokens, and how many tokens all of them may hold together.
+    LONGEST, MOST, DEEPEST = 160, 400_000, 120
+
+    def __init__(self, text: str, starts: Sequence[str], memo: Sequence[str] = ()):
         tokens, at = [], 0
         while text[at:].strip():
             m = _DSL.match(text, at)
@@ -39,6 +45,9 @@ class Grammar:
             self._rules[name] = (a, b)
         self.starts = list(starts)
         self._compile()
+        self.memo = {self.rule_ids[m] for m in memo}
+        self._shapes: dict[int, dict] = {m: {} for m in self.memo}
+        self._held = 0
 
     def _take(self, want: str | None = None) -> tuple[int, str]:
         t = self._tokens[self._at]
@@ -190,6 +199,7 @@ class Grammar:
                 for t in may:
                     row[t] = (*row[t], act)
             self.table[s] = row
+        self._lone: dict[tuple, int] = {}
         self.begin = [0] * len(rules)
         for name, (a, _) in rules.items():
             self.begin[self.rule_ids[name]] = a
@@ -198,33 +208,65 @@ class Grammar:
     def recognise(self, tokens: list[int]) -> int:
         """-1 if some dialect accepts the tokens, else the place of the furthest token reached.
 
-        ``tokens`` are numbers of ``kinds``, with ``plain`` added after a line break. A stack node is
-        (rule, place): what called it and where it may end, each once, so that work is shared between all
-        ways of reading a text.
+        ``tokens`` are numbers of ``kinds``, with ``plain`` added after a line break.
         """
         tokens = [*tokens, self.kinds[self.END]]
-        last = len(tokens) - 1
+        ends, furthest = self._run([self.rule_ids[s] for s in self.starts], tokens, 0, 0)
+        return -1 if len(tokens) - 1 in ends else furthest
+
+    def _ahead(self, rule: int, tokens: list[int], i: int, depth: int) -> tuple[list[int], int]:
+        """Where a remembered rule may end from a place, and the furthest token looked at for that."""
+        shape = self._shapes[rule]
+        j = i
+        while True:
+            known = shape.get(-1)
+            if known is not None:
+                return [i + e for e in known], j - 1
+            if j >= len(tokens):
+                break
+            shape = shape.get(tokens[j])
+            if shape is None:
+                break
+            j += 1
+        ends, furthest = self._run([rule], tokens, i, depth + 1)
+        if furthest - i < self.LONGEST:
+            if self._held > self.MOST:
+                self._shapes = {m: {} for m in self.memo}
+                self._held = 0
+            shape = self._shapes[rule]
+            for t in tokens[i : furthest + 1]:
+                shape = shape.setdefault(t, {})
+            shape[-1] = [e - i for e in ends]
+            self._held += furthest + 1 - i
+        return ends, furthest
+
+    def _run(self, rules: list[int], tokens: list[int], begin_at: int, depth: int) -> tuple[list[int], int]:
+        """All places where one of the rules may end from a place, and the furthest token looked at.
+
+        A stack node is (rule, place): what called it and where it may end, each once, so that work is shared
+        between all ways of reading a text. A node's first caller -1 is the outside.
+        """
         table, begin, width = self.table, self.begin, len(self.begin)
+        memo = self.memo if depth < self.DEEPEST else ()
         nodes: dict[int, tuple[list, list]] = {}
-        root: tuple[list, list] = ([], [])
-        work = []
-        for s in self.starts:
-            r = self.rule_ids[s]
-            node = nodes[r] = ([(-1, root)], [])
-            work.append((begin[r], node, 0))
+        outside: list[int] = []
+        work: list[tuple] = []
+        for r in rules:
+            node = nodes[r + width * begin_at] = ([(-1, None)], [])
+            work.append((begin[r], node, begin_at))
         forks = set()
-        furthest = 0
+        furthest = begin_at
         while work:
             s, node, i = work.pop()
             while True:
                 if s < 0:
-                    if i == last:
-                        return -1
+                    if i not in outside:
+                        outside.append(i)
                     break
+                if i > furthest:
+                    furthest = i
                 acts = table[s][tokens[i]]
                 if not acts:
-                    if i > furthest:
-                        furthest = i
                     break
                 if len(acts) > 1:
                     key = (s, id(node), i)
@@ -232,7 +274,8 @@ class Grammar:
                         break
                     forks.add(key)
                     for act in acts[1:]:
-                        self._step(act, node, i, nodes, work, begin, width)
+                        # other ways wait; each is taken up as a state of its own
+                        work.append((self._single(act), node, i))
                 act = acts[0]
                 k = act[0]
                 if k == "t":
@@ -242,6 +285,14 @@ class Grammar:
                     key = act[1] + width * i
                     to = nodes.get(key)
                     if to is None:
+                        if act[1] in memo:
+                            ends, far = self._ahead(act[1], tokens, i, depth)
+                            if far > furthest:
+                                furthest = far
+                            nodes[key] = ([(act[2], node)], ends)
+                            for e in ends:
+                                work.append((act[2], node, e))
+                            break
                         nodes[key] = to = ([(act[2], node)], [])
                         s, node = begin[act[1]], to
                         continue
@@ -259,25 +310,12 @@ class Grammar:
                     for c in calls[1:]:
                         work.append((c[0], c[1], i))
                     s, node = calls[0]
-        return furthest
+        return outside, furthest
 
-    @staticmethod
-    def _step(act: tuple, node: tuple, i: int, nodes: dict, work: list, begin: list, width: int) -> None:
-        k = act[0]
-        if k == "t":
-            work.append((act[1], node, i + 1))
-        elif k == "c":
-            key = act[1] + width * i
-            to = nodes.get(key)
-            if to is None:
-                nodes[key] = to = ([(act[2], node)], [])
-                work.append((begin[act[1]], to, i))
-            elif not any(a == act[2] and b is node for a, b in to[0]):
-                to[0].append((act[2], node))
-                for e in to[1]:
-                    work.append((act[2], node, e))
-        else:
-            if i not in node[1]:
-                node[1].append(i)
-                for c in node[0]:
-                    work.append((c[0], c[1], i))
+    def _single(self, act: tuple) -> int:
+        """A state whose only action, whatever the token, is the given one."""
+        s = self._lone.get(act)
+        if s is None:
+            s = self._lone[act] = len(self.table)
+            self.table.append([(act,)] * (2 * self.plain))
+        return s

@@ -11,18 +11,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from . import grammars
 from .gll import Grammar
 
-#: Extension: language and the start rules of its dialects.
+#: Extension: language.
 LANGUAGES = {"py": "python", "go": "go", "rs": "rust", "ts": "typescript", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "php": "php"}
+#: Grammar, the start rules of its dialects, and the rules whose shapes are worth remembering.
 _SPEC = {
-    "python": (grammars.PYTHON, ("File",)),
-    "go": (grammars.GO, ("File",)),
-    "rust": (grammars.RUST, ("File",)),
-    "typescript": (grammars.TYPESCRIPT, ("Script", "Module")),
-    "javascript": (grammars.JAVASCRIPT, ("Script", "Module")),
-    "php": (grammars.PHP, ("File",)),
+    "python": (grammars.PYTHON, ("File",), ("Simple", "Test")),
+    "go": (grammars.GO, ("File",), ("Stmt", "Func", "Expr")),
+    "rust": (grammars.RUST, ("File",), ("Stmt", "Expr", "Type")),
+    "typescript": (grammars.TYPESCRIPT, ("Script", "Module"), ("Stmt", "Element", "Assign", "Params")),
+    "javascript": (grammars.JAVASCRIPT, ("Script", "Module"), ("Stmt", "Element", "Assign", "Params")),
+    "php": (grammars.PHP, ("File",), ("Stmt", "Member", "Expr")),
 }
 _built: dict[str, Grammar] = {}
 
@@ -382,7 +384,7 @@ def checked(files: DataFrame) -> DataFrame:
 
     ext = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1))
     src = files.filter(F.col("project_id").isNotNull() & ext.isin(*LANGUAGES)).select("project_id", "path", F.coalesce("content", F.lit("")).alias("content"), F.coalesce("updated_at", F.lit(0)).cast("long").alias("at"))
-    seen = src.mapInArrow(run, "project_id string, path string, at long, language string, valid boolean")
+    seen = spread(src).mapInArrow(run, "project_id string, path string, at long, language string, valid boolean")
     return seen.groupBy("project_id", "path").agg(F.max(F.struct("at", "language", "valid")).alias("m")).select("project_id", "path", "m.language", "m.valid")
 
 
