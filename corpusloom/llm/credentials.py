@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Residual characters from which a literal counts as random: beside a credential's name, and beside any name.
 NEAR, FAR = 3, 14
@@ -265,8 +267,13 @@ def find(text: str, words: Words) -> list[tuple[int, int]]:
         if hit is None or excused(start):
             continue
         first = next(i for i, (x, y) in enumerate(spans) if hit < sum(q - p for p, q in spans[: i + 1]))
-        if not any(spans[first][0] <= f < spans[-1][1] for f in found):
+        within = sorted(f for f in found if spans[first][0] <= f < spans[-1][1])
+        if not within:
             add(spans[first:])
+        elif within[0] < spans[first][1]:  # its first part alone was taken for the whole
+            for f in within:
+                del found[f]
+            add([(within[0], spans[first][1]), *spans[first + 1 :]])
     out = []
     taken = -1
     for at in sorted(found):
@@ -360,7 +367,7 @@ def _scan(table: DataFrame, src: str, vocabulary: str, redact: bool) -> DataFram
                 yield pa.RecordBatch.from_arrays(cols, ["src", "id", "line_no"])
 
     schema = "src string, id string, found int, content string" if redact else "src string, id string, line_no int"
-    return table.select("id", "content").filter("id is not null and content is not null and content <> ''").mapInArrow(run, schema)
+    return spread(table.select("id", "content").filter("id is not null and content is not null and content <> ''")).mapInArrow(run, schema)
 
 
 def lines(tables: dict[str, DataFrame], vocabulary: str = VOCABULARY) -> DataFrame:

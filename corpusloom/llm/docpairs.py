@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 # The node types of functions and methods.
 FUNCTIONS = ("function_declaration", "function_item", "function_definition", "method_declaration", "method_definition", "lexical_declaration")
 LEAST_WORDS = 4
@@ -257,7 +259,7 @@ def _islands(chunks: DataFrame, code: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, ["id", "found", "doc"] + ["code"] * code)
 
     rows = chunks.select("id", "path", F.coalesce("content", F.lit("")).alias("content")).filter("id is not null")
-    return rows.mapInArrow(run, "id string, found string, doc string" + ", code string" * code)
+    return spread(rows).mapInArrow(run, "id string, found string, doc string" + ", code string" * code)
 
 
 def pairs(nodes: DataFrame, chunks: DataFrame, least: int = LEAST_WORDS, code: bool = True) -> DataFrame:

@@ -108,7 +108,7 @@ _SCRIPT = r"""
 Script = Hashbang? Stmt* ;
 Module = Hashbang? (Stmt | Import | Export)* ;
 Hashbang = HASHBANG ;
-ID = NAME | 'async' | 'of' | 'get' | 'set' | 'static' | 'from' | 'as' | 'let' | 'await' | 'yield' @TS | 'type' | 'declare' | 'abstract' | 'readonly' | 'namespace' | 'module' | 'keyof' | 'infer' | 'is' | 'asserts' | 'unique' | 'satisfies' | 'public' | 'private' | 'protected' | 'override' | 'implements' | 'interface' | 'accessor' | 'global' | 'out' @END ;
+ID = NAME | 'assert' | 'implements' | 'interface' | 'public' | 'private' | 'protected' | 'async' | 'of' | 'get' | 'set' | 'static' | 'from' | 'as' | 'let' | 'await' | 'yield' @TS | 'type' | 'declare' | 'abstract' | 'readonly' | 'namespace' | 'module' | 'keyof' | 'infer' | 'is' | 'asserts' | 'unique' | 'satisfies' | 'override' | 'accessor' | 'global' | 'out' @END ;
 WORD = ID | 'if' | 'else' | 'for' | 'while' | 'do' | 'return' | 'break' | 'continue' | 'switch' | 'case' | 'default' | 'function' | 'class' | 'extends' | 'const' | 'var' | 'new' | 'delete' | 'typeof' | 'void' | 'in' | 'instanceof' | 'this' | 'super' | 'null' | 'true' | 'false' | 'throw' | 'try' | 'catch' | 'finally' | 'import' | 'export' | 'with' | 'debugger' | 'enum' ;
 EOS = ';' | %ASI ;
 Import = 'import' (STR | @TS 'type'? @END ImportClause 'from' STR) (('with' | 'assert') Object)? EOS @TS | 'import' 'type'? ID '=' Expr EOS @END ;
@@ -274,7 +274,7 @@ W = N | 'abstract' | 'and' | 'array' | 'as' | 'break' | 'callable' | 'case' | 'c
 Name = ('namespace' '\\' | '\\')? N ('\\' W)* ;
 EOS = ';' | CLOSE HTML? OPEN | CLOSEEND ;
 Attr = '#[' Args ']' ;
-Stmt = Block | ';' | Expr EOS | 'echo' Exprs EOS | ECHO Exprs EOS | If | While | For | Foreach | Switch | 'do' Stmt 'while' '(' Expr ')' EOS | ('break' | 'continue') Expr? EOS | 'return' Expr? EOS | 'global' VarName (',' VarName)* EOS | 'static' StaticVar (',' StaticVar)* EOS | 'unset' '(' Exprs ','? ')' EOS | Try | 'declare' '(' ConstItem (',' ConstItem)* ')' (EOS | Stmt) | 'goto' N EOS | N ':' | 'namespace' (Name? '{' Stmt* '}' | Name EOS) | Use | 'const' ConstItem (',' ConstItem)* EOS | Attr* (Function | Class) | CLOSE HTML? OPEN | HALT ;
+Stmt = Block | ';' | Expr EOS | 'echo' Exprs EOS | ECHO Exprs EOS | If | While | For | Foreach | Switch | 'do' Stmt 'while' '(' Expr ')' EOS | ('break' | 'continue') Expr? EOS | 'return' Expr? EOS | 'global' VarName (',' VarName)* EOS | 'static' StaticVar (',' StaticVar)* EOS | 'unset' '(' Exprs ','? ')' EOS | Try | 'declare' '(' ConstItem (',' ConstItem)* ')' (EOS | Stmt) | 'goto' N EOS | N ':' | 'namespace' (Name? '{' Stmt* '}' | Name EOS) | Use | 'const' ConstItem (',' ConstItem)* EOS | Attr* (Function | Class) | CLOSE HTML? OPEN | CLOSEEND | HALT ;
 Block = '{' Stmt* '}' ;
 If = 'if' '(' Expr ')' (Stmt ('elseif' '(' Expr ')' Stmt)* ('else' Stmt)? | ':' Stmt* ('elseif' '(' Expr ')' ':' Stmt*)* ('else' ':' Stmt*)? 'endif' EOS) ;
 While = 'while' '(' Expr ')' (Stmt | ':' Stmt* 'endwhile' EOS) ;
@@ -302,7 +302,7 @@ Prop = VAR ('=' Expr)? ;
 Exprs = Expr (',' Expr)* ;
 Expr = Operand (Bin Operand | '?' Expr? ':' Operand | 'instanceof' Operand)* ;
 Bin = OP | ASSIGN '&'? | '=' '&'? | '+' | '-' | '*' | '/' | '.' | '&' | '|' | 'and' | 'or' | 'xor' ;
-Operand = ('!' | '~' | '+' | '-' | '++' | '--' | '@' | '&' | CAST | 'print' | 'clone' | 'include' | 'require')* (Postfix | Closure | 'throw' Expr | 'yield' ('from' Expr | Expr ('=>' Expr)?)? | ('return') ) ;
+Operand = ('!' | '~' | '+' | '-' | '++' | '--' | '@' | '&' | CAST | 'print' | 'clone' | 'include' | 'require')* (Postfix | Closure | 'throw' Expr | 'yield' ('from' Expr | Expr ('=>' Expr)?)? ) ;
 Closure = Attr* 'static'? ('function' '&'? '(' Params? ')' ('use' '(' ('&'? VAR (',' '&'? VAR)* ','?)? ')')? Ret? Block | 'fn' '&'? '(' Params? ')' Ret? '=>' Expr) ;
 Postfix = Primary Suffix* ('++' | '--')? ;
 Suffix = '[' Expr? ']' | '{' Expr '}' | ('->' | '?->') (W | VarName | '{' Expr '}') | '::' (W | VarName | '{' Expr '}') | '(' Args? ')' ;

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import spread, written
 
 LABELS = ("handwritten", "generated", "minified", "vendored", "blob")
 SALT = 8
@@ -197,7 +197,7 @@ def labels(files: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), x.column(3), _list(e)], ["project_id", "path", "at", "b"])
 
     src = files.filter("project_id is not null and path is not null").select("project_id", "path", F.coalesce("content", F.lit("")).alias("content"), F.coalesce("updated_at", F.lit(0)).cast("long").alias("at"))
-    seen = src.mapInArrow(look, "project_id string, path string, at long, b array<double>")
+    seen = spread(src).mapInArrow(look, "project_id string, path string, at long, b array<double>")
     leaf = seen.groupBy("project_id", "path").agg(F.max(F.struct("at", "b")).alias("x")).select("project_id", "path", F.col("x.b").alias("b"))
     leaf = written(_up(leaf, FILE).withColumn("dir", _parent(F.col("path"))), "files")
 
@@ -231,9 +231,9 @@ def labels(files: DataFrame) -> DataFrame:
     for t in totals[1:]:
         every = every.unionByName(t)
     # a directory may hold a third of all files: its belief goes to every part of them
-    spread = every.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    shared = every.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     parts = leaf.withColumn("_s", F.pmod(F.xxhash64("path"), F.lit(SALT)).cast("int"))
-    out = _down(parts.join(spread, ["project_id", "dir", "_s"]).select("project_id", "path", "b", "m", "t"), FILE)
+    out = _down(parts.join(shared, ["project_id", "dir", "_s"]).select("project_id", "path", "b", "m", "t"), FILE)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 ORDER, SAMPLES, LEAST_WORDS = 3, 5000, 6
 
 # ISO 639 codes and English names of the languages told apart.
@@ -73,7 +75,7 @@ class ByteModel:
                 known = total > 0
                 p = np.where(known, np.where(count > 0, count, kinds * lower) / np.maximum(total + kinds, 1), lower)
             tables.append(-np.log2(p.reshape(-1)).astype(np.float32))
-        self.bits = np.ascontiguousarray(np.stack(tables, 1)).astype(np.float16)
+        self.bits = np.ascontiguousarray(np.stack(tables, 1)).astype(np.float16) if tables else np.zeros((_SYMBOLS ** (order + 1), 0), np.float16)
 
     def lengths(self, parts: list[bytes]) -> np.ndarray:
         """Code length in bits of each part under each language; a part begins after a space."""
@@ -150,7 +152,7 @@ def _judge(model: ByteModel, text: str, least: int) -> list[tuple[int, int, int,
         if prose and len(_WORD.findall(text, a, b)) >= least:
             spans.append((a, b))
             parts.append(" ".join(strip_code(text[a:b]).split()).encode("utf-8", "replace"))
-    if not spans:
+    if not spans or not model.langs:
         return []
     bits = model.lengths(parts)
     bits -= bits.min(1, keepdims=True)
@@ -194,7 +196,8 @@ def segments(documents: DataFrame, samples: DataFrame, least: int = LEAST_WORDS)
             types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["doc_id", "segment", "char_start", "char_end", "lang", "confidence", "bytes"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").filter("text is not null and text <> ''").mapInArrow(run, SEGMENTS)
+    texts = documents.select(F.col("doc_id").cast("long"), "text").filter("text is not null and text <> ''")
+    return spread(texts).mapInArrow(run, SEGMENTS)
 
 
 def named(label, lang):

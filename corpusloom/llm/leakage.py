@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 WORDS, EDITS, Q = 10, 1, 8
 ITEM_BYTES = 32 << 20
 
@@ -188,7 +190,7 @@ def leaks(documents: DataFrame, items: DataFrame, words: int = WORDS, edits: int
             size = 0
         blocks[-1].append(r)
         size += len(r[1])
-    docs = documents.select(F.col("doc_id").cast("long"), "text").filter("text is not null and text <> ''")
+    docs = spread(documents.select(F.col("doc_id").cast("long"), "text").filter("text is not null and text <> ''"))
     out = None
     for block in blocks:
         shared = spark.sparkContext.broadcast(ItemIndex(block, words, edits))

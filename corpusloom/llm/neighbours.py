@@ -165,11 +165,16 @@ def nearest(records: DataFrame, k: int = 5, dim: int = 64, trees: int = TREES, l
                 break
             s = qv[a : a + 1024] @ cv.T
             s[qn[a : a + 1024, None] == cn[None, :]] = -9
-            m = min(k, s.shape[1])
+            m = min(k + 2, s.shape[1])
             top = np.argpartition(-s, m - 1, axis=1)[:, :m]
-            score = np.take_along_axis(s, top, 1)
-            ok = score > -2
-            out.append((np.repeat(qn[a : a + 1024], m)[ok.ravel()], cn[top][ok], score[ok]))
+            ok = np.take_along_axis(s, top, 1) > -2
+            # exactly, pair by pair: the same in every leaf where two vectors meet
+            near = np.einsum("ijk,ik->ij", cv[top].astype(np.float64), qv[a : a + 1024].astype(np.float64)).astype(np.float32)
+            near[~ok] = -9
+            best = np.argsort(-near, axis=1, kind="stable")[:, :k]
+            top, near = np.take_along_axis(top, best, 1), np.take_along_axis(near, best, 1)
+            ok = near > -2
+            out.append((np.repeat(qn[a : a + 1024], top.shape[1])[ok.ravel()], cn[top][ok], near[ok]))
         q, c, s = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
         return pa.table({"q": q, "c": c, "s": s.astype(np.float32)})
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import spread, written
 
 CAPACITY = 2048
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -63,7 +63,8 @@ def token_pieces(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str
                     size.append(min(capacity, n - a))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(piece, pa.int32()), pa.array(first, pa.int64()), pa.array(size, pa.int32())], ["doc_id", "piece", "first_token", "n_tokens"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").filter("text is not null and text <> ''").mapInArrow(count, "doc_id long, piece int, first_token long, n_tokens int")
+    texts = documents.select(F.col("doc_id").cast("long"), "text").filter("text is not null and text <> ''")
+    return spread(texts).mapInArrow(count, "doc_id long, piece int, first_token long, n_tokens int")
 
 
 def plan_packs(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
