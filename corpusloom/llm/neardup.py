@@ -15,7 +15,7 @@ from ..session import written
 
 WIDTH, LEAST = 3, 0.7
 #: Frequency sketch: 2**SKETCH_BITS counters, whatever the data's size.
-SKETCH_BITS, SKETCH_BLOCK = 20, 4096
+SKETCH_BITS, SKETCH_BLOCK = 22, 4096
 #: A shingle above this count is frequent: it is indexed in pairs, within one of PARTS classes.
 FREQUENT, PARTS = 48, 32
 
@@ -116,6 +116,17 @@ def signatures(s: np.ndarray, level: np.ndarray, least: float, frequent: int = F
     return np.unique(np.concatenate(out))
 
 
+def least_shared(p: int, q: int, least: float) -> int:
+    """How many signatures two similar sets of p and q shingles share at least.
+
+    Their overlap is at least o = least / (1 + least) * (p + q), so a set of p loses p - o shingles to the
+    other. Its prefix withstands p - ceil(least * p) losses with one signature left, and every loss takes
+    at most one away.
+    """
+    o = math.ceil(least * (p + q) / (1 + least) - 1e-9)
+    return max(1, min(n - math.ceil(least * n - 1e-9) + 1 - (n - o) for n in (p, q)))
+
+
 def similar(texts: DataFrame, width: int = WIDTH, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
     """Pairs of classes (a, b, similarity) and the members (n, id) of the classes.
 
@@ -148,7 +159,10 @@ def similar(texts: DataFrame, width: int = WIDTH, least: float = LEAST) -> tuple
 
     sig = classes.select("n", "text").mapInArrow(index, "sig long, n long, size int")
     x, y = sig.select("sig", F.col("n").alias("a"), F.col("size").alias("p")), sig.select("sig", F.col("n").alias("b"), F.col("size").alias("q"))
-    candidates = x.join(y, "sig").filter((F.col("a") < F.col("b")) & (F.col("p") >= F.col("q") * least - 1e-9) & (F.col("q") >= F.col("p") * least - 1e-9)).select("a", "b").distinct()
+    met = x.join(y, "sig").filter((F.col("a") < F.col("b")) & (F.col("p") >= F.col("q") * least - 1e-9) & (F.col("q") >= F.col("p") * least - 1e-9))
+    overlap = F.ceil((F.col("p") + F.col("q")) * (least / (1 + least)) - 1e-9)
+    stands = lambda n: overlap - F.ceil(F.col(n) * least - 1e-9) + 1  # noqa: E731  as in least_shared
+    candidates = met.groupBy("a", "b", "p", "q").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= F.least(stands("p"), stands("q"))).select("a", "b")
     body = classes.select("n", "text").mapInArrow(sets, "n long, s binary")
     both = candidates.join(body.select(F.col("n").alias("a"), F.col("s").alias("x")), "a").join(body.select(F.col("n").alias("b"), F.col("s").alias("y")), "b")
 
