@@ -52,7 +52,7 @@ def python_entities(files: DataFrame) -> DataFrame:
                 try:
                     with warnings.catch_warnings():
                         warnings.simplefilter("ignore")
-                        tree = ast.parse(text.lstrip("﻿"))
+                        tree = ast.parse(text.lstrip("\ufeff"))
                 except (SyntaxError, ValueError, RecursionError, MemoryError):
                     continue
                 for node in ast.walk(tree):

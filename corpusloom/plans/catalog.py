@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import code, text
-from ..operators import analysis, chunking, fusion, graph, lexical, store, vectors
+from ..operators import analysis, chunking, entities, fusion, graph, lexical, store, vectors
 from ..session import table
 from ..sources import files as source
 from ..streaming import events as stream
@@ -202,6 +202,11 @@ def chunk_ast_py(s, d):
     return chunking.python_entities(table(s, d, "code_files")).withColumn("calls", F.array_join("calls", "|")).distinct()
 
 
+@query()
+def chunk_entities(s, d):
+    return entities.entities(table(s, d, "code_files")).distinct()
+
+
 @query("""SELECT DISTINCT project_id, path, CASE regexp_extract(path, '\\.([^./]+)$', 1) WHEN 'go' THEN 'Go' WHEN 'js' THEN 'JavaScript' WHEN 'jsx' THEN 'JavaScript' WHEN 'ts' THEN 'TypeScript'
 WHEN 'tsx' THEN 'TSX' WHEN 'php' THEN 'PHP' WHEN 'rs' THEN 'Rust' WHEN 'py' THEN 'Python' END AS language FROM code_files""")
 def lang_of_ext(s, d):

@@ -21,18 +21,22 @@ def scan(spark: SparkSession, root: str, ignore: tuple[str, ...] = SKIPPED, patt
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(base)
     rel = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + base + "/", "")
     out = df.select(rel.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.col("path").alias("file"))
-    keep = ~F.col("path").rlike(r"(^|/)\.")
+    return out.filter(_kept(F.col("path"), ignore))
+
+
+def _kept(path: Column, ignore: tuple[str, ...]) -> Column:
+    keep = ~path.rlike(r"(^|/)\.")
     for d in ignore:
-        keep = keep & ~F.concat(F.lit("/"), F.col("path")).contains(f"/{d}/")
-    return out.filter(keep)
+        keep = keep & ~F.concat(F.lit("/"), path).contains(f"/{d}/")
+    return keep
 
 
-def read(spark: SparkSession, root: str) -> DataFrame:
+def read(spark: SparkSession, root: str, ignore: tuple[str, ...] = SKIPPED) -> DataFrame:
     """(path, content, content_hash, size): indexable files of a tree as text, broken UTF-8 replaced."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     rel = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + root.rstrip("/") + "/", "")
     ok = df.filter(is_indexable(extension(F.col("path")), F.col("length")))
-    return ok.select(rel.alias("path"), utf8_lossy(F.col("content")).alias("content"), F.sha2("content", 256).alias("content_hash"), F.col("length").alias("size"))
+    return ok.filter(_kept(rel, ignore)).select(rel.alias("path"), utf8_lossy(F.col("content")).alias("content"), F.sha2("content", 256).alias("content_hash"), F.col("length").alias("size"))
 
 
 def npm_dependencies(text: Column) -> Column:
