@@ -36,3 +36,8 @@ def utf8_lossy(data: Column) -> Column:
 def with_prefix(text: Column, prefix: str) -> Column:
     """The text after a model's prefix, which is not repeated."""
     return F.when(F.startswith(text, F.lit(prefix)), text).otherwise(F.concat(F.lit(prefix), text))
+
+
+def summary(text: Column, most: int = 200) -> Column:
+    """The first sentence or line of a text, cut at ``most`` characters: the summariser used where no model is given."""
+    return F.substring(F.trim(F.regexp_extract(text, r"^\s*([^.!?\n]+[.!?]?)", 1)), 1, most)

@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..session import spread
 
 K1, B = 1.2, 0.75
 
 
 def postings(docs: DataFrame) -> DataFrame:
     """(id, term, tf)."""
-    return docs.select("id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return spread(docs).select("id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def term_stats(docs: DataFrame) -> DataFrame:
@@ -28,21 +29,22 @@ def doc_lengths(docs: DataFrame) -> DataFrame:
 def bm25(docs: DataFrame, terms: list[str], k: int | None = None) -> DataFrame:
     """(id, score): documents with any of the terms, best first; ties by id.
 
-    One pass: term counts and lengths come from the same token array, so only the rows that match and
-    four sums leave the scan; the statistics are one row.
+    Texts are split once: what leaves the scan is an id, a length and a few counts, and that one small exchange
+    serves both the statistics, which are one row, and the scores. Documents have ids that are not null.
     """
     terms = list(dict.fromkeys(terms))
-    toks = docs.select("id", tokens(F.col("text")).alias("t"))
+    toks = spread(docs).select("id", tokens(F.col("text")).alias("t"))
     counts = [(F.size("t") - F.size(F.array_remove("t", w))).alias(f"_{i}") for i, w in enumerate(terms)]
-    rows = toks.select("id", F.size("t").alias("len"), *counts)
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"), *[F.sum((F.col(f"_{i}") > 0).cast("int")).alias(f"df{i}") for i in range(len(terms))])
-    hit = rows.filter(" or ".join(f"_{i} > 0" for i in range(len(terms))) if terms else "false").crossJoin(F.broadcast(stats))  # one row
+    rows = toks.select("id", F.size("t").alias("len"), *counts).repartition("id")
+    stats = rows.agg(F.count("id").alias("n"), F.avg("len").alias("avg"), *[F.sum((F.col(f"_{i}") > 0).cast("int")).alias(f"df{i}") for i in range(len(terms))])
+    both = rows.crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)
     for i in range(len(terms)):
         tf = F.col(f"_{i}").cast("double")
         idf = F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
         score = score + F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg")))).otherwise(0.0)
-    out = hit.select("id", F.round(score, 6).alias("score"))
+    # any term makes the score positive; asked here, the filter stays above the shared exchange
+    out = both.withColumn("_s", score).filter("_s > 0").select("id", F.round("_s", 6).alias("score"))
     return out if k is None else out.orderBy(F.desc("score"), "id").limit(k)
 
 

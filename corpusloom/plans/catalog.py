@@ -458,6 +458,11 @@ def search_turbo_path(s, d):
     return top.join(_vecs(s, d).filter(F.col("label").isin(0, 1, 2)).select(F.col("id").alias("vec_id")), "vec_id")
 
 
+@query("SELECT doc_id, substring(trim(regexp_extract(text, '^\\s*([^.!?\\n]+[.!?]?)', 1), ' '), 1, 200) AS summary FROM documents WHERE text IS NOT NULL")
+def summary_extract(s, d):
+    return table(s, d, "documents").filter("text is not null").select("doc_id", text.summary(F.col("text")).alias("summary"))
+
+
 _SUMMARY = f"SELECT sha256(content) AS h, min(nullif({_META.format('summary')}, '')) AS summary FROM records WHERE content IS NOT NULL GROUP BY 1"
 
 

@@ -58,6 +58,17 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_written: dict[str, list[str]] = {}
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete the tables that ``written`` left in the shared folder in this session; results that still read them end."""
+    jvm = spark.sparkContext._jvm
+    for path in _written.pop(spark.sparkContext.applicationId, []):
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as parquet to the shared folder and read it back.
 
@@ -67,6 +78,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

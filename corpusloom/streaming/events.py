@@ -8,8 +8,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 # Extensions and directories of interest.
 EXTENSIONS = ("go", "rs", "js", "ts", "tsx", "php", "py", "md")
@@ -17,6 +18,36 @@ EXCLUDED = ("/node_modules/", "/dist/", "/build/", "/.next/", "/generated/prisma
 QUIET_MS, RATE, BURST = 500, 30.0, 60.0
 
 
+def watch(spark: SparkSession, root: str) -> DataFrame:
+    """A stream of (path, kind, ts, size): files that appear below a root, as Spark's file source sees them.
+
+    A file source tells of new files only; removed ones come from ``sync_diff`` against the store.
+    """
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    src = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(root)
+    return src.select("path", F.lit("create").alias("kind"), F.col("modificationTime").alias("ts"), F.col("length").alias("size"))
+
+
+class Progress(StreamingQueryListener):
+    """Counts batches and rows of the streams of a session: ``spark.streams.addListener(Progress())``."""
+
+    def __init__(self):
+        self.state = {"status": "idle", "batches": 0, "rows": 0, "error": None}
+
+    def onQueryStarted(self, event):
+        self.state["status"] = "running"
+
+    def onQueryProgress(self, event):
+        self.state["batches"] += 1
+        self.state["rows"] += event.progress.numInputRows
+
+    def onQueryIdle(self, event):
+        self.state["status"] = "idle"
+
+    def onQueryTerminated(self, event):
+        self.state["status"], self.state["error"] = "ready", event.exception
+
+
 def is_interesting(kind: Column, path: Column, kinds: tuple[str, ...] = ("modify", "create")) -> Column:
     ok = kind.isin(*kinds) & F.regexp_extract(path, r"\.([^./]+)$", 1).isin(*EXTENSIONS)
     for d in EXCLUDED:

@@ -12,6 +12,9 @@ def spark():
 
     s = build_session("tests", cores=4, spark__sql__shuffle__partitions="4", spark__driver__memory="4g")
     yield s
+    from corpusloom.session import clean
+
+    clean(s)
     s.stop()
 
 

@@ -75,8 +75,13 @@ def test_token_bucket_stream(spark, tmp_path):
     calls = [("k", at(i)) for i in range(20)]
     spark.createDataFrame(calls, "u string, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
     q = E.token_bucket_stream(spark.readStream.schema("u string, ts timestamp").parquet(str(tmp_path / "in")), "u", "ts", rate=0.0, burst=5)
-    run = q.writeStream.format("memory").queryName("bucket").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    run.awaitTermination(120)
+    # with a processing-time timeout the stream goes on with empty batches: stopped once its input is done
+    run = q.writeStream.format("memory").queryName("bucket").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).start()
+    for _ in range(60):
+        if spark.table("bucket").count():
+            break
+        run.awaitTermination(1)
+    run.stop()
     assert rows(spark.table("bucket")) == [("k", 20, 5)]
 
 
@@ -85,3 +90,25 @@ def test_micro_batches_and_idle(spark):
     got = rows(E.micro_batches(df, "ts", ["i"]).groupBy("batch_start", "batch_no").count().select("batch_no", "count"))
     assert got == sorted([(n, 10) for n in range(5)] + [(0, 10)], key=repr)
     assert rows(E.idle_sessions(df.union(spark.createDataFrame([(99, "u", at(10_000_000))], df.schema)).select("u", "ts"), ["u"]).select("n")) == [(1,), (60,)]
+
+
+def test_watch_and_progress(spark, tmp_path):
+    import time
+
+    root = tmp_path / "src"
+    (root / "a").mkdir(parents=True)
+    (root / "a" / "x.go").write_text("package a")
+    (root / "y.bin").write_text("zz")
+    p = E.Progress()
+    spark.streams.addListener(p)
+    seen = []
+    q = E.watch(spark, str(root)).filter(E.is_interesting(F.col("kind"), F.col("path"))).writeStream.foreachBatch(lambda df, i: seen.extend((r.path.rsplit("/", 1)[1], r.size) for r in df.collect()))
+    q = q.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    assert seen == [("x.go", 9)]
+    for _ in range(50):
+        if p.state["status"] == "ready":
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(p)
+    assert p.state["status"] == "ready" and p.state["batches"] >= 1 and p.state["error"] is None
