@@ -8,7 +8,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 QUERY_BLOCK = 2048
+JOIN_BLOCK = 12_288
 
 
 def norm(v: Column) -> Column:
@@ -87,6 +90,59 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2", same
     return ranked.filter(F.col("rank") <= k).withColumn("score", F.round("score", 6))
 
 
+def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Equal vectors as one class: (id, v, size), the id the least of the class; and (id, rep), the other ids of classes of several."""
+    one = written(vectors.filter("id is not null and v is not null").groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("size")), "vector-classes")
+    several = one.filter("size > 1").select("v", F.col("id").alias("rep"))
+    return one, vectors.join(several, "v").filter("id <> rep").select("id", "rep")
+
+
+def cosine_pairs(vectors: DataFrame, least: float, block: int = JOIN_BLOCK) -> DataFrame:
+    """(id_a, id_b, score), the smaller id first: all pairs of ``vectors`` (id, v) with a cosine of ``least`` or more.
+
+    Exact: every pair of blocks of about ``block`` vectors is one group, so that the work grows with the
+    square of the rows. Single precision with a margin names candidates; doubles decide. Ids are unique.
+    """
+    kind = dict(vectors.dtypes)["id"]
+    n = -(-vectors.count() // block) or 1
+    at = vectors.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("at"))
+    sides = at.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("lo", F.least("at", "o")).withColumn("hi", F.greatest("at", "o")).drop("o")
+
+    def near(t: pa.Table) -> pa.Table:
+        v, ids = t.column("v").combine_chunks(), t.column("id").combine_chunks()
+        x = np.asarray(v.flatten(), np.float64).reshape(len(v), -1)
+        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        u, where = x.astype(np.float32), t.column("at").to_numpy()
+        a = np.nonzero(where == t.column("lo")[0].as_py())[0]
+        b = np.nonzero(where == t.column("hi")[0].as_py())[0]
+        same, held, left, right, scores = t.column("lo")[0] == t.column("hi")[0], u[b].T, [], [], []
+        for k in range(0, len(a), 512):
+            i, j = np.nonzero(u[a[k : k + 512]] @ held >= least - 1e-5)
+            i += k
+            if same:
+                i, j = i[i < j], j[i < j]
+            i, j = a[i], b[j]
+            s = np.einsum("ij,ij->i", x[i], x[j])
+            ok = s >= least
+            left.append(i[ok]), right.append(j[ok]), scores.append(s[ok])
+        i, j, s = (np.concatenate(y) if y else np.zeros(0, d) for y, d in ((left, np.int64), (right, np.int64), (scores, np.float64)))
+        return pa.table([ids.take(pa.array(i)), ids.take(pa.array(j)), pa.array(s)], ["p", "q", "s"])
+
+    found = sides.groupBy("lo", "hi").applyInArrow(near, f"p {kind}, q {kind}, s double")
+    return found.select(F.least("p", "q").alias("id_a"), F.greatest("p", "q").alias("id_b"), F.col("s").alias("score"))
+
+
+def similar(vectors: DataFrame, least: float) -> DataFrame:
+    """(kind, id_a, id_b, score): all rows with a cosine of ``least`` or more, no partner left out.
+
+    ``copy``: id_b has the vector of id_a, the least id with it. ``near``: a pair of such least ids. The other
+    pairs follow: those within a class, and of two near classes any id with any.
+    """
+    one, copies = classes(vectors)
+    near = cosine_pairs(one.select("id", "v"), least).select(F.lit("near").alias("kind"), "id_a", "id_b", F.round("score", 6).alias("score"))
+    return near.unionByName(copies.select(F.lit("copy").alias("kind"), F.col("rep").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("score")))
+
+
 def nearest_to(vectors: DataFrame, query: list[float], k: int, where: Column | None = None) -> DataFrame:
     """(id, distance): top k of one query vector as a literal, the filter before it; a scan and a heap, no shuffle."""
     q = F.array(*[F.lit(float(x)) for x in query])

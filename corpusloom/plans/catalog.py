@@ -611,6 +611,12 @@ def near_dup_pairs(s, d):
     return _record_knn(s, d, 10).filter("score >= 0.9")
 
 
+@query()
+def near_dup_join(s, d):
+    """The whole job of which near_dup_pairs is a search: all records against all, every partner at 0.9 or more."""
+    return vectors.similar(_record_vectors(s, d), 0.9)
+
+
 @query(_record_knn_sql(1, "> 0.98"))
 def summary_semantic_cache(s, d):
     """The nearest other record of each asked one, if it is similar enough to share its summary."""
