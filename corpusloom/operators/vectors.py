@@ -143,6 +143,21 @@ def similar(vectors: DataFrame, least: float) -> DataFrame:
     return near.unionByName(copies.select(F.lit("copy").alias("kind"), F.col("rep").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("score")))
 
 
+def nearest_above(vectors: DataFrame, least: float) -> DataFrame:
+    """(query_id, id, score, rank): the nearest other row of every row by cosine, where that is above ``least``; ties as in ``knn``."""
+    one, copies = classes(vectors)
+    near = cosine_pairs(one.select("id", "v"), least).filter(F.col("score") > least)
+    both = near.select(F.col("id_a").alias("rep"), F.col("id_b").alias("id"), "score").unionByName(near.select(F.col("id_b").alias("rep"), F.col("id_a").alias("id"), "score"))
+    found = lambda id, s: F.struct((-F.round(s, 9)).alias("d"), id.alias("id"), s.alias("s"))
+    best = both.groupBy("rep").agg(F.min(found(F.col("id"), F.col("score"))).alias("e"))
+    # a copy finds the least id of its class, that id the next one
+    own = copies.select(F.col("id").alias("query_id"), found(F.col("rep"), F.lit(1.0)).alias("e"))
+    own = own.unionByName(copies.groupBy("rep").agg(F.min("id").alias("id")).select(F.col("rep").alias("query_id"), found(F.col("id"), F.lit(1.0)).alias("e")))
+    ids = one.select(F.col("id").alias("query_id"), F.col("id").alias("rep")).unionByName(copies.select(F.col("id").alias("query_id"), "rep"))
+    every = ids.join(best, "rep").select("query_id", "e").unionByName(own.filter(F.lit(least < 1)))
+    return every.groupBy("query_id").agg(F.min("e").alias("e")).select("query_id", "e.id", F.round("e.s", 6).alias("score"), F.lit(1).alias("rank"))
+
+
 def nearest_to(vectors: DataFrame, query: list[float], k: int, where: Column | None = None) -> DataFrame:
     """(id, distance): top k of one query vector as a literal, the filter before it; a scan and a heap, no shuffle."""
     q = F.array(*[F.lit(float(x)) for x in query])

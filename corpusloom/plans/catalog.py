@@ -623,6 +623,12 @@ def summary_semantic_cache(s, d):
     return _record_knn(s, d, 1).filter("score > 0.98")
 
 
+@query()
+def summary_cache_all(s, d):
+    """The whole job of which summary_semantic_cache is a search: every record asks."""
+    return vectors.nearest_above(_record_vectors(s, d), 0.98)
+
+
 @query(_hybrid_sql(10))
 def hybrid_rrf(s, d):
     return _hybrid(s, d, 10)

@@ -39,6 +39,20 @@ def test_near_dup_join_has_every_pair(spark, tmp_path):
     assert searched < pairs
 
 
+def test_summary_cache_asks_for_every_record(spark, tmp_path):
+    ids, s = fixture(spark, str(tmp_path))
+    np.fill_diagonal(s, -9)
+    want = {}
+    for i, a in enumerate(ids):
+        j = min(range(len(ids)), key=lambda j: (-round(s[i, j], 9), ids[j]))
+        if s[i, j] > 0.98:
+            want[a] = (ids[j], 1)
+    got = catalog.QUERIES["summary_cache_all"](spark, str(tmp_path)).collect()
+    assert {r.query_id: (r.id, r.rank) for r in got} == want and len(got) == len(want)
+    searched = {(r.query_id, r.id) for r in catalog.QUERIES["summary_semantic_cache"](spark, str(tmp_path)).collect()}
+    assert searched < {(r.query_id, r.id) for r in got}
+
+
 def test_blocks_lose_and_repeat_no_pair(spark):
     x = np.random.default_rng(6).standard_normal((90, 4))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
