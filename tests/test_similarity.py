@@ -59,3 +59,15 @@ def test_blocks_lose_and_repeat_no_pair(spark):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     want = sorted((int(i), int(j)) for i, j in zip(*np.nonzero(u @ u.T >= 0.7)) if i < j)
     assert sorted((r.id_a, r.id_b) for r in vectors.cosine_pairs(df, 0.7, block=20).collect()) == want
+
+
+def test_ivf_recall_at_production_parameters(spark):
+    r = np.random.default_rng(8)
+    even, groups = r.standard_normal((600, 64)), np.repeat(9 * r.standard_normal((20, 64)), 30, 0) + r.standard_normal((600, 64))
+    for x in (even, groups, even[:7]):
+        v = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "id long, v array<double>")
+        d = np.sqrt(((x[:20, None] - x[None]) ** 2).sum(2))
+        d[np.arange(len(d)), np.arange(len(d))] = np.inf
+        want = {(i, int(j)) for i, row in enumerate(d) for j in np.argsort(row)[:10] if np.isfinite(row[j])}
+        got = {(a.query_id, a.id) for a in vectors.ivf_knn(v, v.filter("id < 20"), 10).collect()}
+        assert len(got & want) / len(want) >= 0.9 and len(got) == len(want)
