@@ -44,6 +44,9 @@ FILLERS = ("changeme", "change-me", "change_me", "placeholder", "example", "dumm
 
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+_KEY_BREAK = re.compile(r"\r?\n|(?:\\[rn])+")
+_KEY_LINE = re.compile(r"[\s\"'`#/*|>+.,-]*?(=?[A-Za-z0-9+/]+={0,2})([\s\"'`#+.,;)\]}\\-]*)")
+_KEY_GLUE = re.compile(r"[\s\"'`#/*|>+.,\\-]*|[\s\"'`#/*|>-]*[A-Z][A-Za-z-]+: [^;{}]*")
 _FORMAT = re.compile(r"(?<![A-Za-z0-9_])(?:" + "|".join(FORMATS) + r")")
 _URL = re.compile(r"[a-zA-Z][a-zA-Z0-9+.-]{1,20}://([^\s:/@\"'`<>]*):([^\s/\"'`]+?)@([^\s/\"'`:]+)")
 _DSN = re.compile(r"(?i)(?<=[;\s\"'`])(?:password|pwd)\s*=\s*([^;\"'`\n]+)")
@@ -159,6 +162,26 @@ def _literal(text: str, at: int) -> tuple[list[tuple[int, int]], str] | None:
     return spans, "".join(value)
 
 
+def _key_end(text: str, at: int) -> int:
+    """Where a key without an end mark ends, from the end of its first mark: after the last of the lines of base64
+    that follow, in a literal, its parts or a comment too. The last line of the text may be cut anywhere."""
+    end = at
+    while at < len(text):
+        b = _KEY_BREAK.search(text, at)
+        line = text[at : b.start() if b else len(text)]
+        m = _KEY_LINE.fullmatch(line)
+        if m:
+            if b and len(m.group(1)) < 40 and not re.search(r"[\d+/=]", m.group(1)):
+                break  # a word
+            end = at + m.end(1)
+        elif not _KEY_GLUE.fullmatch(line):
+            break
+        if not b or m and re.search(r"[;)\]}]", m.group(2)):
+            break
+        at = b.end()
+    return end
+
+
 def find(text: str, words: Words) -> list[tuple[int, int]]:
     """Spans of the literal credential values of a text, in order; a value in parts has a span for each, under its first place."""
     found: dict[int, list[tuple[int, int]]] = {}
@@ -178,9 +201,14 @@ def find(text: str, words: Words) -> list[tuple[int, int]]:
     lower = text.lower() if text.isascii() else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     if "private key" in lower:
         for m in _PEM.finditer(text):
-            e = _PEM_END.search(text, m.end())
-            end = e.end() if e and e.start() - m.end() < 8000 else m.end()
-            body = text[m.end() : e.start() if e else m.end() + 400]
+            e, following = _PEM_END.search(text, m.end()), _PEM.search(text, m.end())
+            if e and following and following.start() < e.start():
+                e = None  # the end of another block
+            body = text[m.end() : e.start() if e else min(m.end() + 400, following.start() if following else len(text))]
+            if e and (len(body) < 8000 or 2 * sum(map(len, re.findall(r"[A-Za-z0-9+/=]{16,}", body))) > len(body)):
+                end = e.end()
+            else:  # no end, or code that names both marks far apart
+                end = _key_end(text, m.end())
             if len(re.findall(r"[A-Za-z0-9+/=]{16,}|[A-Za-z0-9+/]{8,}={1,2}", body)) and not _REFERENCE.search(body.strip()[:40]):
                 add([(m.start(), end)])
     if "_" in text or "AKIA" in text or "-" in text or "eyJ" in text:

@@ -70,3 +70,35 @@ def test_rows(spark):
     red = {r.id: r for r in C.redacted({"t": t}).collect()}
     assert set(red) == {"a", "d"} and red["a"].content == 'x\npassword = "' + "*" * len(RND) + '"\n' and red["a"].found == 1
     assert C.lines({"t": t.limit(0)}).count() == 0
+
+
+BEGIN, END = PEM.split("\n")[0], PEM.split("\n")[-1]
+KEY = [base64.b64encode(bytes((i * 37 + j * 101 + j * j) % 256 for j in range(48))).decode() for i in range(200)]
+
+
+@pytest.mark.parametrize(
+    "before, key, after",
+    [
+        ("a = 1\nk = `", [BEGIN, *KEY[:9], KEY[9][:5]], ""),
+        ("x\n", [BEGIN, *KEY], "\n"),
+        ("x\n", [BEGIN, *KEY, END], "\nrest of it\n"),
+        ("x\n", [BEGIN, "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0011", "", *KEY[:9], "ab3="], "\n\nfunc main() {\n\treturn\n}\n"),
+    ],
+)
+def test_keys_without_end_or_long(words, before, key, after):
+    text = before + "\n".join(key) + after
+    f = C.find(text, words)
+    m = C.mask(text, f)
+    assert len(f) == 1 and m.startswith(before) and m.endswith(after) and set(m[len(before) : len(m) - len(after)]) <= {"*", "\n"}
+
+
+def test_cut_keys_in_literals_and_before_others(words):
+    joined = 'k := "' + BEGIN + '\\n" +\n' + "".join(f'  "{x}\\n" +\n' for x in KEY[:5]) + f'  "{KEY[5]}";\nrun(plain)\n'
+    escaped = f'k = "{BEGIN}\\n' + "\\n".join(KEY[:6]) + '"\nrun(plain)\n'
+    for text in (joined, escaped):
+        m = C.mask(text, C.find(text, words))
+        assert not any(x in m for x in KEY) and m.endswith("\nrun(plain)\n") and len(m) == len(text)
+    text = "\n".join([BEGIN, *KEY[:4], "", "between them lies prose", PEM, "end"])
+    f = C.find(text, words)
+    m = C.mask(text, f)
+    assert len(f) == 2 and "\nbetween them lies prose\n" in m and m.endswith("\nend") and not any(x in m for x in [*KEY[:4], *PEM.split("\n")])
