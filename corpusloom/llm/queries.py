@@ -54,6 +54,10 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.close_pairs(table(spark, d, "records"))
 
 
+def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.nearest(table(spark, d, "records"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return credentials.lines({n: table(spark, d, n) for n in ("code_chunks", "records")})
 

@@ -65,3 +65,16 @@ def test_copies(spark):
     for r in N.nearest(df).orderBy("id", "rank").collect():
         got.setdefault(r.id, []).append(r.neighbour)
     assert got["c0"] == ["c1", "c2", "c3", "c4", "c5"] and got["c7"] == ["c0", "c1", "c2", "c3", "c4"] and got["x"] == ["c0", "c1", "c2", "c3", "c4"]
+
+
+def test_registered_query_gives_all_five(spark, tmp_path):
+    from corpusloom.llm import queries as Q
+
+    r = np.random.default_rng(4)
+    x = (np.repeat(r.standard_normal((60, 64)), 50, 0) + 0.55 * r.standard_normal((3000, 64))).astype(np.float32)
+    records(spark, x).write.parquet(f"{tmp_path}/records.parquet")
+    s, want = exact(x.astype(np.float64))
+    got = Q.queries()["p6_neighbours"](spark, str(tmp_path)).collect()
+    assert len(got) == 5 * len(x) and sum(a.cosine < 0.8 for a in got) > 1000
+    true = {(f"r{i:04d}", f"r{j:04d}") for i, row in enumerate(want) for j in row}
+    assert len({(a.id, a.neighbour) for a in got} & true) / len(true) >= 0.9
