@@ -150,7 +150,7 @@ def _literal(text: str, at: int) -> tuple[list[tuple[int, int]], str] | None:
         if not text.startswith(q, b):
             break
         j = _JOIN.match(text, b + len(q))
-        if not j or len(spans) > 40:
+        if not j:
             break
         glue = j.group(0)[:-1]
         listed = "," in glue and "concat!" not in text[max(0, at - 1) : at + 9]
@@ -285,14 +285,18 @@ def find(text: str, words: Words) -> list[tuple[int, int]]:
                 continue
             if _secret(m.group(group), 2, words) and not excused(m.start()) and not any(m.start() <= f < m.end() for f in found):
                 add([m.span(group)])
+    done = 0
     for m in _JOINT.finditer(text):
         start = text.rfind(m.group(1), text.rfind("\n", 0, m.start()) + 1, m.start())
-        lit = _literal(text, start) if start >= 0 else None
+        lit = _literal(text, start) if start >= done else None
         if not lit or len(lit[0]) < 2:
             continue
         spans, v = lit
+        shown = excused(start)
+        if len(spans) > 40 and not shown:  # one of many parts is judged once, not again from each of them
+            done = spans[-1][1]
         hit = _inside(v, words)
-        if hit is None or excused(start):
+        if hit is None or shown:
             continue
         first = next(i for i, (x, y) in enumerate(spans) if hit < sum(q - p for p, q in spans[: i + 1]))
         within = sorted(f for f in found if spans[first][0] <= f < spans[-1][1])
@@ -339,7 +343,7 @@ def _secret(value: str, rank: int, words: Words) -> bool:
     """Whether a literal beside a name of this rank is a credential: not a filler, and enough of it is left
     unexplained by words; known formats of hashes only beside the name of a credential."""
     v = re.sub(r"(?i)^(?:bearer|basic|token)\s+", "", value.strip())
-    if _filler(v) or re.search(r"\s", v) or len(v) > 4096:
+    if _filler(v) or re.search(r"\s", v):
         return False
     if re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://", v):
         return False  # an address; a password in it is found by itself

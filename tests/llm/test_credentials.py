@@ -102,3 +102,17 @@ def test_cut_keys_in_literals_and_before_others(words):
     f = C.find(text, words)
     m = C.mask(text, f)
     assert len(f) == 2 and "\nbetween them lies prose\n" in m and m.endswith("\nend") and not any(x in m for x in [*KEY[:4], *PEM.split("\n")])
+
+
+def test_long_values_and_many_parts(words):
+    long = "".join(KEY)
+    assert len(long) > 4096
+    text = f'secret = "{long}"\nnext = 1\n'
+    assert C.mask(text, C.find(text, words)) == f'secret = "{"*" * len(long)}"\nnext = 1\n'
+    prose = "-".join(["vector", "table", "report"] * 400)
+    assert C.find(f'secret = "{prose}"', words) == []
+    for first in (f'apiKey = "{KEY[0]}"', f'u = "Bearer {KEY[0]}"'):
+        text = first + "".join(f' +\n  "{x}"' for x in KEY[1:120]) + "\nnext = 1\n"
+        f = C.find(text, words)
+        m = C.mask(text, f)
+        assert len(f) == 1 and not any(x in m for x in KEY[:120]) and m.endswith("\nnext = 1\n")
