@@ -57,21 +57,32 @@ _IDENTIFIER = re.compile(r"[A-Za-z_$][\w$]*")
 _COMMENT = re.compile(r"\s*(?://+!?|#+!?(?!\[)|/\*+!?|\*+/?|<!--|--|;+|\"\"\"|''')\s?(.*)")
 
 
-def header(text: str, most: int = 40) -> str:
-    """The comment with which a file begins, an opening tag and blank lines apart."""
-    out, docstring = [], False
-    for line in text.split("\n", most)[:most]:
+_BLOCKS = (("/*", "*/"), ("<!--", "-->"), ('"""', '"""'), ("'''", "'''"))
+
+
+def header(text: str) -> str:
+    """The whole comment with which a file begins, blocks up to their ends; an opening tag and blank lines apart."""
+    out, closing = [], ""
+    for line in text.split("\n"):
         s = line.strip()
-        if not s or s.startswith(("<?php", "#!", "'use strict'", '"use strict"')):
+        if not s:
             continue
-        m = _COMMENT.match(line)
-        if not m and not docstring:
-            break
-        body = m.group(1) if m else s
-        if s.startswith(('"""', "'''")) and not (len(s) > 5 and s.endswith(s[:3])):
-            docstring = not docstring
-        elif docstring and s.endswith(('"""', "'''")):
-            docstring = False
+        if closing:
+            body = re.sub(r"^\*+/?\s?", "", s)
+            closing = "" if closing in s else closing
+        else:
+            if s.startswith("<?php"):
+                line = line.replace("<?php", "", 1)
+                s = line.strip()
+                if not _COMMENT.match(line):
+                    continue
+            elif s.startswith(("#!", "'use strict'", '"use strict"')):
+                continue
+            m = _COMMENT.match(line)
+            if not m:
+                break
+            body = m.group(1)
+            closing = next((end for begin, end in _BLOCKS if s.startswith(begin) and end not in s[len(begin) :]), "")
         out.append(re.sub(r"\s*(?:\*+/|\"\"\"|'''|-->)\s*$", "", body))
     return "\n".join(out)
 

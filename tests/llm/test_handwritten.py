@@ -67,3 +67,14 @@ def test_a_few_marked_files_do_not_mark_their_directory(spark):
     data = [("p", f"lib/f{i}.py", CODE) for i in range(60)] + [("p", f"lib/v{i}.py", "# Upstream: X, tag 1.2.3; please send fixes there.\n" + CODE) for i in range(5)] + [("p", f"lib/g{i}.py", "# @generated by x from y\n" + CODE) for i in range(5)]
     got = {r.path for r in H.not_handwritten(files(spark, data)).collect()}
     assert got == {f"lib/{k}{i}.py" for k in "vg" for i in range(5)}
+
+
+def test_whole_header():
+    licence = [f"line {i} of a long licence" for i in range(60)]
+    notice, owner = "Code generated by tool. DO NOT EDIT.", "Copyright (c) The Frame Contributors"
+    assert evidence_label("a.py", "".join(f"# {x}\n" for x in [*licence, notice]) + CODE) == "generated"
+    for begin, end in (("/*", "*/"), ("<?php /*", "*/"), ("<?php\n/**", " */"), ('"""', '"""'), ("<!--", "-->")):
+        for text, label in ((notice, "generated"), (owner, "vendored"), ("plain words", "handwritten")):
+            assert evidence_label("a.js", "\n".join([begin, *licence, "", text, "more", end]) + "\n" + CODE) == label
+        assert H.header("\n".join([begin, "head", end, "run()", f"// {notice}"])).split() == ["head"]
+    assert H.header("/* one */\n// two\nrun()\n/* three */") == "one\ntwo"
