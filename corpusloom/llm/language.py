@@ -99,7 +99,8 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _BREAK = re.compile(r"\n[ \t\r]*\n")
 _LOG = re.compile(r"\s*(?:\[?\d{4}-\d\d-\d\d|\[?\d\d:\d\d:\d\d|(?:TRACE|DEBUG|INFO|WARN|WARNING|ERROR|FATAL)\b)|\s*\S* ?\d\d:\d\d:\d\d\b|\s+at \S+\(|Traceback |\s*File \"|\$ |>>> ")
 _CODE_LINE = re.compile(r"\s*(?:[})\]]|(?:import|from|return|def|class|func|fn|let|const|var|pub|use|if|for|while|export|async)\b.*[({=:;])")
-_CONFIG_LINE = re.compile(r"\s*(?:\"?[\w.-]+\"?\s*[:=]\s*\S+,?\s*|[\w.-]+\s*=\s*.*|<[^>]+>.*)$")
+_CONFIG_LINE = re.compile(r"\s*(?:\"?[\w.-]+\"?\s*[:=]\s*\S+,?\s*|[\w.-]+\s*=\s*.*)$")
+_TAG = re.compile(r"<[^<>]+>")
 
 
 def strip_code(text: str) -> str:
@@ -137,6 +138,11 @@ _QUOTED = re.compile(r"`[^`\n]*`")
 
 
 def _is_code(line: str) -> bool:
+    if line.lstrip().startswith("<") and _TAG.match(line.lstrip()):  # what is left without tags, unless the tags hold but names and values
+        line, tags = _TAG.subn(" ", line)
+        if len(_WORD.findall(line)) < max(LEAST_WORDS, 2 * tags):
+            return True
+        line = line.strip()
     if len(line) > 400:  # longer than lines of code or logs are, unless data: few words
         return line.count(" ") * 25 < len(line)
     if _LOG.match(line) or _CONFIG_LINE.match(line):

@@ -57,3 +57,11 @@ def test_held_out_accuracy(spark):
     bits = m.lengths([" ".join(L.strip_code(t).split()).encode() for _, t in s[1::2]])
     right = sum(m.langs[k] == lang for k, (lang, _) in zip(bits.argmin(1), s[1::2]))
     assert right / len(s[1::2]) >= 0.98
+
+
+def test_prose_in_tags_at_any_length():
+    for n in (1, 2, 5, 30):
+        for text in (f"<p>{EN * n}</p>", f'<div class="note"><p>{FR * n}</p></div>'):
+            assert [p for _, _, p in L.paragraphs(text)] == [True]
+        for text in ("<a><b>value</b>" * n + "</a>", f'<item name="the words in a tag are not prose at all {n}"/>' * n, "<script>let a = 1; let b = 2; if (a == b) { run(a, b); }</script>"):
+            assert [p for _, _, p in L.paragraphs(text)] == [False]
