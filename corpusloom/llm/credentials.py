@@ -59,6 +59,12 @@ _PLAIN = re.compile(r"([^\s\"'`(){}\[\];,<>\\]+)(?=[\s#;,<]|$)")
 _TAG = re.compile(r"<([\w.:-]+)>([^<>\n]+)</\1>")
 _LOGIN = re.compile(r"\blogin\s+\S+\s+password\s+(\S+)")
 _FLAG = re.compile(r"--(?:[\w-]+-)?(?:password|passwd|pass|pwd|secret|token|api-?key|key)[ =][\"']?([^\s\"'`]+)")
+#: A login said in words, as in comments and notes: whose it is, then a separator and the value.
+_SAID = re.compile(
+    r"(?i)\b(?:log(?:s|ged|ging)?[ -]?(?:in|on)|sign(?:s|ed)?[ -]?in|accounts?|admin(?:istrator)?|root|credentials?|user(?:name)?)\b(?:[ \t]+(?:is|are|as|with|use|user|for|the|name|account|details))*[ \t]*[:=]?[ \t]+"
+    r"[\w.@+-]+(?:[ \t]*[/:|][ \t]*|[ \t]+(?:with|and|using|by|pw|pass(?:word)?)[ \t]+)(?:(?:the[ \t]+)?pass(?:word|phrase|code)?[ \t]*[:=]?[ \t]*)?[\"'`]?([^\s\"'`]{6,})"
+)
+_SAID_IN = ("log", "sign", "account", "admin", "root", "credential", "user")
 _JOINT = re.compile(r"([\"'`])#{0,3}[ \t]*(?:\+|\.|,|\\)?[ \t]*\n\s*(?:\+|\.)?[ \t]*[\"'`]")
 _JOIN = re.compile(r"#{0,3}\s*(?:\+|\.|,|\\)?\s*(?:\n\s*)?(?:\+|\.)?\s*([\"'`])")
 _HASH = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})$|[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$|sha(?:1|256|384|512)[-:]|\$(?:2[aby]|argon2|5|6)\$|md5:")
@@ -225,7 +231,7 @@ def find(text: str, words: Words) -> list[tuple[int, int]]:
                 add([m.span(2)])
     if "pwd" in lower or "password" in lower:
         for m in _DSN.finditer(text):
-            if ";" in text[max(0, m.start() - 200) : m.start()] and not _filler(m.group(1)) and not excused(m.start()):
+            if ";" in text[text.rfind("\n", 0, m.start()) + 1 : m.start()] and not _filler(m.group(1)) and not excused(m.start()):
                 add([m.span(1)])
     if " -u" in text or "user" in lower:
         for m in _USER.finditer(text):
@@ -285,6 +291,11 @@ def find(text: str, words: Words) -> list[tuple[int, int]]:
                 continue
             if _secret(m.group(group), 2, words) and not excused(m.start()) and not any(m.start() <= f < m.end() for f in found):
                 add([m.span(group)])
+    if any(w in lower for w in _SAID_IN):
+        for m in _SAID.finditer(text):
+            v = m.group(1).rstrip(".,;:)]}>")
+            if _secret(v, 2, words) and not excused(m.start()) and not any(m.start(1) <= f < m.end(1) for f in found):
+                add([(m.start(1), m.start(1) + len(v))])
     done = 0
     for m in _JOINT.finditer(text):
         start = text.rfind(m.group(1), text.rfind("\n", 0, m.start()) + 1, m.start())
