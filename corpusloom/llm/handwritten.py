@@ -87,6 +87,28 @@ def header(text: str) -> str:
     return "\n".join(out)
 
 
+# Parts of words that every notice of a tool holds; searched before the notices themselves.
+_HINTS = ("generate", "produced", "overwritten", "edit", "modify", "automat", "lost", "discarded", "génér", "generad", "gerado", "gerada", "generat")
+
+
+def notice_below(text: str) -> bool:
+    """Whether a comment line below the head is a tool's notice about the file itself: the notice is what the line begins with."""
+    low, seen = text.lower(), -1
+    for hint in _HINTS:
+        at = low.find(hint)
+        while at >= 0:
+            a, b = low.rfind("\n", 0, at) + 1, low.find("\n", at)
+            b = len(low) if b < 0 else b
+            if a != seen and b - a < 400:
+                seen = a
+                m = _COMMENT.match(low[a:b])
+                g = _GENERATED_TEXT.search(m.group(1)) if m else None
+                if g and g.start() < 30 and not _NOT_GENERATED.search(m.group(1)):
+                    return True
+            at = low.find(hint, b)
+    return False
+
+
 def evidence(path: str, text: str) -> np.ndarray:
     """Log-likelihoods of what a file is, from its name and content, by label. Ordinary code may be
     handwritten or vendored, the latter less often if its head does not say so."""
@@ -105,6 +127,9 @@ def evidence(path: str, text: str) -> np.ndarray:
         if _GENERATED_TEXT.search(line) and not _NOT_GENERATED.search(line):
             e[1] += 10
             break
+    else:
+        if notice_below(t):
+            e[1] += 10
     for line in head.split("\n"):
         if _VENDORED_TEXT.search(line) and not _NOT_VENDORED.search(line):
             e[3] += 11.5

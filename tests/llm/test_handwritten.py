@@ -78,3 +78,12 @@ def test_whole_header():
             assert evidence_label("a.js", "\n".join([begin, *licence, "", text, "more", end]) + "\n" + CODE) == label
         assert H.header("\n".join([begin, "head", end, "run()", f"// {notice}"])).split() == ["head"]
     assert H.header("/* one */\n// two\nrun()\n/* three */") == "one\ntwo"
+
+
+def test_notices_below_the_head():
+    code = "import x\n\ndef f(a):\n    return a\n"
+    for line in ("# Code generated by forge. DO NOT EDIT.", "# This file was automatically produced from a.proto; manual changes will be lost.", "# Do not modify by hand: output of forge"):
+        assert H.notice_below(code + line + "\n") and H.evidence("lib/a.py", code + line)[1] > 8
+        assert H.notice_below(code + line + "\n" + code)
+    for line in ('BANNER = "Code generated by forge. DO NOT EDIT."', "# writes the files below generated/ and skips those marked as not to be edited", "# Do not edit the order of these rules without a test.", "# Generates tables at start-up; edit freely.", "", "#"):
+        assert not H.notice_below(code + line + "\n")
