@@ -182,6 +182,8 @@ _REMARK = re.compile(
 )
 _CODE_END = re.compile(r"(?:[;{}]|\)\s*(?:=>|:)|=>|\($|,$(?<=[)\]],))\s*$")
 _CODE_IN = re.compile(r"(?::=|\+=|-=|=>|->|==|!=|&&|\|\||\w\s=\s\S|\$\w+)|^\s*(?:return|const|let|var|import|from|def|func|fn|pub|if|for|while|else|try|except|raise|throw|await|print|echo|self\.|this\.)\b.*[()\[\]{}=:;]|^\s*[\w.$>-]+\(.*\)\s*;?\s*$|^\s*(?:return|break|continue|pass)(?:\s+[\w.$]+)?\s*;?\s*$")
+#: An assignment whose right side ends in a bracket, however many words it has.
+_CODE_SET = re.compile(r"\s*(?:(?:let|const|var|mut|final|auto)\s+)*[\w.$\[\]\"']+(?:\s*,\s*[\w.$]+)*\s*(?::=|[-+*/|&.?]{0,2}=(?!=))\s*\S.*[\])};]\s*$")
 _PIECE = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+|[^\W\d_A-Za-z]+")
 _TOKEN = re.compile(r"\w+")
 
@@ -190,6 +192,8 @@ def _is_code(line: str) -> bool:
     bare = re.sub(r"`[^`]*`", "x", line)
     if _CODE_END.search(bare) and re.search(r"[(){}=;$]", bare):
         return True
+    if _CODE_SET.match(bare):
+        return True
     return bool(_CODE_IN.search(bare)) and not re.search(r"(?:\w+ ){5}", bare)
 
 

@@ -22,6 +22,8 @@ CASES = [
     ("go", "// TODO: write what this does with the cache\nfunc Load() {}", "Load", False),
     ("go", "// Documentation to be written later.\nfunc Load() {}", "Load", False),
     ("go", "func Load() {}", "Load", False),
+    ("py", "# pull = [record.clone(x) for x in target if x]\n# rest = [digest.render(x) for x in pull if x]\ndef load(a): pass", "load", False),
+    ("py", "# keeps all rows of the table in order (x = y)\ndef load(a): pass", "load", True),
 ]
 
 
