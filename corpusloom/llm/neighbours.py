@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..session import written
 
-TREES, LEAF, PROBES, SAMPLE, BLOCK, SEED = 4, 400, 9, 32_768, 4096, 7
+#: SAMPLE bounds what the forest is fitted on, NODE how much of that a leaf gets where there is enough.
+TREES, LEAF, SAMPLE, NODE, BLOCK, SEED = 3, 1600, 131_072, 64, 8192, 7
 
 
 class Forest:
@@ -56,29 +57,31 @@ class Forest:
         g = a + int(np.argmax(s[a + 1 : b + 1] - s[a:b]))
         return float((s[g] + s[g + 1]) / 2)
 
-    def search(self, x: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
-        """Own leaf in each tree (n x trees), and the ``probes`` leaves that one priority queue shared by all
-        trees pops first (n x probes). A leaf's priority is the worst margin by which its path leaves the
-        side of the query: 0 for the own leaves, which come first. Leaves are numbered over all trees."""
-        n, leaves = len(x), 2**self.depth
-        cost = np.zeros((n, self.trees, 1), np.float32)
-        own = np.zeros((n, self.trees), np.int64)
-        rows = np.arange(n)[:, None]
+    def search(self, x: np.ndarray, probes: int) -> np.ndarray:
+        """The ``probes`` leaves (n x probes) that one priority queue shared by all trees pops first, the own leaf
+        in every tree before the others. A leaf's priority is the worst margin by which its path leaves the side
+        of the query. Leaves are numbered over all trees.
+
+        Every node leads to a leaf of its own priority, so the best ``probes`` leaves lie below the best
+        ``probes`` nodes of every level: no others are kept on the way down.
+        """
+        n, dim = x.shape
+        inner, most = self.w.shape[1], max(probes, self.trees)
+        w, t = self.w.reshape(-1, dim), self.t.ravel()
+        tree = np.tile(np.arange(self.trees), (n, 1))
+        node = np.zeros((n, self.trees), np.int64)
+        cost = np.full((n, self.trees), -1.0, np.float32)  # -1: the query's own path
         for level in range(self.depth):
-            a, b = 2**level - 1, 2 ** (level + 1) - 1
-            w = self.w[:, a:b].reshape(-1, x.shape[1])
-            m = (x @ w.T).reshape(n, self.trees, b - a) - self.t[None, :, a:b]
-            both = np.empty((n, self.trees, 2 * (b - a)), np.float32)
-            np.maximum(cost, m, out=both[:, :, 0::2])
-            np.maximum(cost, -m, out=both[:, :, 1::2])
-            own = 2 * own + (m[rows, np.arange(self.trees)[None, :], own] > 0)
-            cost = both
-        first = np.arange(self.trees, dtype=np.int64) * leaves
-        flat = cost.reshape(n, -1)
-        flat[rows, own + first] = -1.0
-        k = min(max(probes, self.trees), flat.shape[1])
-        found = np.argpartition(flat, k - 1, axis=1)[:, :k] if k < flat.shape[1] else np.tile(np.arange(k), (n, 1))
-        return own + first, found
+            at = tree * inner + 2**level - 1 + node
+            m = np.einsum("nbd,nd->nb", w[at], x) - t[at]
+            own, left = cost < 0, m <= 0
+            cost = np.concatenate((np.where(own & left, -1, np.maximum(np.maximum(cost, m), 0)), np.where(own & ~left, -1, np.maximum(np.maximum(cost, -m), 0))), 1).astype(np.float32)
+            tree, node = np.concatenate((tree, tree), 1), np.concatenate((2 * node, 2 * node + 1), 1)
+            if cost.shape[1] > most:
+                keep = np.argpartition(cost, most - 1, axis=1)[:, :most]
+                tree, node, cost = (np.take_along_axis(a, keep, 1) for a in (tree, node, cost))
+        order = np.argsort(cost, axis=1, kind="stable")
+        return np.take_along_axis(tree * 2**self.depth + node, order, 1)
 
 
 def usable(records: DataFrame, dim: int = 64) -> DataFrame:
@@ -107,11 +110,12 @@ def _matrix(col: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), "<f4").reshape(len(col), -1)
 
 
-def nearest(records: DataFrame, k: int = 5, dim: int = 64, trees: int = TREES, leaf: int = LEAF, probes: int = PROBES, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
+def nearest(records: DataFrame, k: int = 5, dim: int = 64, trees: int = TREES, leaf: int = LEAF, probes: int | None = None, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
     """(id, rank, neighbour, cosine): the ``k`` most similar usable records of every usable record.
 
-    The forest is fitted on at most ``sample`` vectors, those with the least hashes; every vector is
-    indexed and every vector asks. Equal vectors are one class in the index; within a class, and
+    The forest is fitted on at most ``sample`` vectors, those with the least hashes, ``NODE`` for each leaf while
+    they last; every vector is indexed and every vector asks. A query visits ``probes`` leaves; if that is not
+    given, its own in every tree, three more, and one for every two levels of the trees. Equal vectors are one class in the index; within a class, and
     between equal similarities, ids come by code point. Leaves above ``block`` vectors are worked in
     blocks, none of them dropped. Fewer than two usable records give no rows; extra columns are ignored.
     """
@@ -120,24 +124,21 @@ def nearest(records: DataFrame, k: int = 5, dim: int = 64, trees: int = TREES, l
     classes = rows.groupBy("vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("size"))
     classes = written(classes.withColumn("n", F.monotonically_increasing_id()), "vector-classes")
     total = classes.count()
-    fit = classes.select("vec", F.xxhash64("id").alias("h")).orderBy("h").limit(sample).toArrow()
+    depth = max(0, min(math.ceil(math.log2(max(1, total / leaf))), int(math.log2(max(1, min(sample, total) // 8)))))
+    probes = trees + 3 + depth // 2 if probes is None else max(probes, trees)
+    fit = classes.select("vec", F.xxhash64("id").alias("h")).orderBy("h").limit(min(sample, NODE * 2**depth)).toArrow()
     x = _matrix(fit.column(0)) if len(fit) else np.zeros((1, dim), np.float32)
-    depth = max(0, min(math.ceil(math.log2(max(1, total / leaf))), int(math.log2(max(1, len(x) // 8)))))
-    forest = spark.sparkContext.broadcast(Forest(x, depth, trees))  # at most sample/8 nodes a tree
+    forest = spark.sparkContext.broadcast(Forest(x, depth, trees))  # at most sample / 8 nodes a tree
     inner = F.col("n").isNotNull()
 
     def route(batches):
         for big in batches:
             for at in range(0, big.num_rows, 2048):
                 b = big.slice(at, 2048)
-                own, found = forest.value.search(_matrix(b.column(1)), probes)
-                n = len(own)
-                is_own = (found[:, :, None] == own[:, None, :]).any(2)
-                q, j = np.nonzero(~is_own)
-                who = np.concatenate([np.repeat(np.arange(n), trees), q])
-                leafs = np.concatenate([own.ravel(), found[q, j]])
-                member = np.concatenate([np.ones(n * trees, bool), np.zeros(len(q), bool)])
-                yield pa.RecordBatch.from_arrays([pa.array(leafs), pa.array(member), b.column(0).take(pa.array(who)), b.column(1).take(pa.array(who))], ["leaf", "member", "n", "vec"])
+                found = forest.value.search(_matrix(b.column(1)), probes)
+                who = np.repeat(np.arange(len(found)), found.shape[1])
+                member = np.tile(np.arange(found.shape[1]) < trees, len(found))
+                yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), pa.array(member), b.column(0).take(pa.array(who)), b.column(1).take(pa.array(who))], ["leaf", "member", "n", "vec"])
 
     routed = classes.select("n", "vec").filter(inner).mapInArrow(route, "leaf long, member boolean, n long, vec binary")
     full = {}
@@ -200,7 +201,7 @@ def _own_leaves(forest):
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 2048):
-                own, _ = forest.value.search(_matrix(b.column(1).slice(at, 2048)), 1)
+                own = forest.value.search(_matrix(b.column(1).slice(at, 2048)), 1)
                 yield pa.RecordBatch.from_arrays([pa.array(own.ravel())], ["leaf"])
 
     return run
