@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -11,7 +13,9 @@ from pyspark.sql import functions as F
 from ..session import written
 
 QUERY_BLOCK = 2048
-JOIN_BLOCK = 12_288
+JOIN_BLOCK = 8192
+#: Pivots that a join by cosine chooses from, the sample that they are fitted on, and the costs it weighs.
+PIVOTS, PIVOT_SAMPLE, PAIR_NS, COPY_NS = (1, 4, 16, 64, 256, 1024), 40_960, 5, 5000
 
 
 def norm(v: Column) -> Column:
@@ -37,59 +41,70 @@ def distance2(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2", same: bool = False) -> DataFrame:
+def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2", same: bool = False, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, id, score, rank): the ``k`` nearest of ``vectors`` (id, v) for every row of ``queries`` (id, v).
 
-    ``l2`` gives distances, ``cosine`` similarities. Queries go out in blocks of ``QUERY_BLOCK``, and every
-    task keeps only its best k for each, so that nothing but those is shuffled. ``same`` allows a vector
-    to find itself. Null vectors and ids give no rows.
+    ``l2`` gives distances, ``cosine`` similarities. Queries go out in blocks of about ``block``, one after another,
+    so that the driver and a task hold one block; every task keeps only its best k for each query, and nothing
+    but those is shuffled. ``same`` allows a vector to find itself. Null vectors and ids give no rows.
     """
     spark = vectors.sparkSession
     kind = dict(vectors.dtypes)["id"]
-    rows = [(r[0], r[1]) for r in queries.select("id", "v").filter("id is not null and v is not null").orderBy("id").toLocalIterator()]
     src = vectors.select("id", "v").filter("id is not null and v is not null")
-    found = None
-    for at in range(0, max(len(rows), 1), QUERY_BLOCK):
-        block = rows[at : at + QUERY_BLOCK]
-        if not block:
-            break
-        shared = spark.sparkContext.broadcast((np.array([r[0] for r in block]), np.array([r[1] for r in block], np.float64)))  # a block's size is fixed
-
-        def best(batches, shared=shared):
-            qi, q = shared.value
-            keep_i = keep_s = None
-            for b in batches:
-                n = b.num_rows
-                if not n:
-                    continue
-                i = np.array(b.column(0).to_pylist())
-                x = np.asarray(b.column(1).flatten(), np.float64).reshape(n, -1)
-                if metric == "l2":
-                    s = np.stack([np.sqrt(((x - v) ** 2).sum(1)) for v in q])
-                else:
-                    s = -(q @ x.T) / np.maximum(np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None], 1e-300)
-                if not same:
-                    s[qi[:, None] == i[None, :]] = np.inf
-                i = np.broadcast_to(i, s.shape)
-                if keep_s is not None:
-                    s, i = np.concatenate((keep_s, s), 1), np.concatenate((keep_i, i), 1)
-                order = np.lexsort((i, np.round(s, 9)), axis=1)[:, :k]
-                keep_s, keep_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-            if keep_s is not None:
-                ok = np.isfinite(keep_s)
-                who = np.repeat(qi, keep_s.shape[1]).reshape(keep_s.shape)
-                yield pa.RecordBatch.from_arrays([pa.array(who[ok], b.column(0).type), pa.array(keep_i[ok], b.column(0).type), pa.array(keep_s[ok] if metric == "l2" else -keep_s[ok])], ["query_id", "id", "score"])
-
-        part = src.mapInArrow(best, f"query_id {kind}, id {kind}, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
+    asks = queries.select("id", "v").filter("id is not null and v is not null")
+    rows = asks.limit(block + 1).toArrow()
+    if not len(rows):
         return spark.createDataFrame([], f"query_id {kind}, id {kind}, score double, rank int")
+
+    def found(rows: pa.Table) -> DataFrame:
+        rows = rows.sort_by("id").combine_chunks()
+        ids, q = np.array(rows.column("id").to_pylist()), np.asarray(rows.column("v").combine_chunks().flatten(), np.float64).reshape(len(rows), -1)
+        shared = spark.sparkContext.broadcast((ids, q))  # a block's size is fixed
+        return src.mapInArrow(lambda it: _best(it, *shared.value, k, metric, same), f"query_id {kind}, id {kind}, score double")
+
+    if len(rows) <= block:
+        out = found(rows)
+    else:
+        parts = -(-asks.count() // block)
+        held = written(asks.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")), "queries")
+        out = None
+        for p in range(parts):
+            rows = held.filter(F.col("part") == p).select("id", "v").toArrow()
+            if len(rows):
+                part = written(found(rows), "nearest")
+                out = part if out is None else out.unionByName(part)
     score = F.round("score", 9)
     order = [score, F.col("id")] if metric == "l2" else [score.desc(), F.col("id")]
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
     return ranked.filter(F.col("rank") <= k).withColumn("score", F.round("score", 6))
 
 
+def _best(batches, qi: np.ndarray, q: np.ndarray, k: int, metric: str, same: bool):
+    """The k best of all rows of a task for every query."""
+    keep_i = keep_s = b = None
+    for b in batches:
+        n = b.num_rows
+        if not n:
+            continue
+        i = np.array(b.column(0).to_pylist())
+        x = np.asarray(b.column(1).flatten(), np.float64).reshape(n, -1)
+        if metric == "l2":
+            s = np.stack([np.sqrt(((x - v) ** 2).sum(1)) for v in q])
+        else:
+            s = -(q @ x.T) / np.maximum(np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None], 1e-300)
+        if not same:
+            s[qi[:, None] == i[None, :]] = np.inf
+        i = np.broadcast_to(i, s.shape)
+        if keep_s is not None:
+            s, i = np.concatenate((keep_s, s), 1), np.concatenate((keep_i, i), 1)
+        order = np.lexsort((i, np.round(s, 9)), axis=1)[:, :k]
+        keep_s, keep_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+    if keep_s is not None:
+        ok = np.isfinite(keep_s)
+        who = np.repeat(qi, keep_s.shape[1]).reshape(keep_s.shape)
+        yield pa.RecordBatch.from_arrays([pa.array(who[ok], b.column(0).type), pa.array(keep_i[ok], b.column(0).type), pa.array(keep_s[ok] if metric == "l2" else -keep_s[ok])], ["query_id", "id", "score"])
+
+
 def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Equal vectors as one class: (id, v, size), the id the least of the class; and (id, rep), the other ids of classes of several."""
     one = written(vectors.filter("id is not null and v is not null").groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("size")), "vector-classes")
@@ -97,38 +112,125 @@ def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return one, vectors.join(several, "v").filter("id <> rep").select("id", "rep")
 
 
-def cosine_pairs(vectors: DataFrame, least: float, block: int = JOIN_BLOCK) -> DataFrame:
+def _units(col: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    x = np.asarray(col.flatten(), np.float64).reshape(len(col), -1)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+class Cells:
+    """Cells around pivots on the unit sphere, and the cells in which a vector's partners can lie.
+
+    A vector belongs to its nearest pivot. A partner no farther than ``reach`` that belongs to another pivot lies
+    beyond the plane between the two, so a cell whose plane is farther away than that holds none.
+    """
+
+    def __init__(self, pivots: np.ndarray, least: float):
+        self.p = pivots
+        self.reach = math.sqrt(max(0.0, 2 - 2 * least)) + 1e-4
+        self.gap = 2 * np.sqrt(np.maximum(0, 2 - 2 * pivots @ pivots.T))
+
+    def of(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(home, near): the cell of each vector, and which later cells can hold partners of it."""
+        d = 2 - 2 * u @ self.p.T
+        home = d.argmin(1)
+        near = d - d[np.arange(len(d)), home][:, None] <= self.gap[home] * self.reach
+        return home, near & (np.arange(len(self.p))[None, :] > home[:, None])
+
+
+def fit_cells(sample: np.ndarray, rows: int, least: float, seed: int = 3) -> Cells:
+    """Cells for a collection of ``rows`` vectors: of several numbers of pivots the one that, judged by the
+    sample of unit vectors, costs least in comparisons and in copies sent to other cells together."""
+    rng, best, dim = np.random.default_rng(seed), None, sample.shape[1]
+    for k in PIVOTS:
+        if best is not None and k * 8 > len(sample):
+            break
+        p = sample[rng.choice(len(sample), k, replace=False)]
+        part = sample[: 40 * k]
+        for _ in range(5 if k > 1 else 0):
+            at = (part @ p.T).argmax(1)
+            sums = np.zeros((k, dim))
+            np.add.at(sums, at, part)
+            n = np.linalg.norm(sums, axis=1, keepdims=True)
+            p = np.where(n > 1e-9, sums / np.maximum(n, 1e-9), p)
+        cells = Cells(p, least)
+        home, near = cells.of(sample[:4096])
+        share = np.bincount(home, minlength=k) / len(home)
+        cost = rows * ((near @ share).mean() + (share**2).sum() / 2) * PAIR_NS + (1 + near.sum(1).mean()) * COPY_NS
+        if best is None or cost < best[0]:
+            best = cost, cells
+    return best[1]
+
+
+def cosine_pairs(vectors: DataFrame, least: float, block: int = JOIN_BLOCK, sample: int = PIVOT_SAMPLE) -> DataFrame:
     """(id_a, id_b, score), the smaller id first: all pairs of ``vectors`` (id, v) with a cosine of ``least`` or more.
 
-    Exact: every pair of blocks of about ``block`` vectors is one group, so that the work grows with the
-    square of the rows. Single precision with a margin names candidates; doubles decide. Ids are unique.
+    Exact. Vectors lie in cells around pivots, fitted on at most ``sample`` of them, those with the least hashes;
+    each is compared within its cell and goes to the later cells that can hold a partner. How many those are depends
+    on the data: few for high thresholds or grouped vectors, all in the worst case, where the work grows with the square
+    of the rows. Cells are worked in blocks of about ``block``. Single precision with a margin names candidates;
+    doubles decide. Ids are unique and ``least`` is positive.
     """
-    kind = dict(vectors.dtypes)["id"]
-    n = -(-vectors.count() // block) or 1
-    at = vectors.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("at"))
-    sides = at.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("lo", F.least("at", "o")).withColumn("hi", F.greatest("at", "o")).drop("o")
+    spark = vectors.sparkSession
+    kind, vec = (dict(vectors.dtypes)[c] for c in ("id", "v"))
+    n = vectors.count()
+    fit = vectors.select("v", F.xxhash64("id").alias("h")).orderBy("h").limit(sample).toArrow()
+    if not len(fit):
+        return spark.createDataFrame([], f"id_a {kind}, id_b {kind}, score double")
+    cells = spark.sparkContext.broadcast(fit_cells(_units(fit.column("v")), n, least))  # at most max(PIVOTS) vectors
+
+    def count(batches):
+        total = np.zeros((len(cells.value.p), 2), np.int64)
+        for b in batches:
+            for at in range(0, b.num_rows, 4096):
+                home, near = cells.value.of(_units(b.column(1).slice(at, 4096)))
+                total[:, 0] += np.bincount(home, minlength=len(total))
+                total[:, 1] += near.sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total[:, 0]), pa.array(total[:, 1])], ["cell", "holds", "visits"])
+
+    src = vectors.select("id", "v")
+    sizes = src.mapInArrow(count, "cell int, holds long, visits long").groupBy("cell").agg(F.sum("holds"), F.sum("visits")).collect()  # a row a cell
+    parts = {r[0]: (max(1, -(-r[1] // block)), max(1, -(-(r[1] + r[2]) // block))) for r in sizes}
+
+    def route(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 4096):
+                x = b.slice(at, 4096)
+                home, near = cells.value.of(_units(x.column(1)))
+                who, cell = np.nonzero(near)
+                m = len(home)
+                who, cell = np.concatenate((np.arange(m), np.arange(m), who)), np.concatenate((home, home, cell))
+                # 0: held by its cell; 1: the same asking there; 2: asking from an earlier cell
+                role = np.repeat(np.array([0, 1, 2], np.int32), (m, m, len(who) - 2 * m))
+                for a in range(0, len(who), 16_384):
+                    w = pa.array(who[a : a + 16_384])
+                    yield pa.RecordBatch.from_arrays([pa.array(cell[a : a + 16_384].astype(np.int32)), pa.array(role[a : a + 16_384]), x.column(0).take(w), x.column(1).take(w)], ["cell", "role", "id", "v"])
+
+    routed = src.mapInArrow(route, f"cell int, role int, id {kind}, v {vec}")
+    of = lambda i: F.create_map(*[F.lit(v) for c, p in parts.items() for v in (c, p[i])])[F.col("cell")]
+    own = lambda i: F.pmod(F.xxhash64("id"), of(i)).cast("int")
+    every = lambda i: F.sequence(F.lit(0), (of(i) - 1).cast("int"))
+    held = F.col("role") == 0
+    split = routed.withColumn("h", F.explode(F.when(held, F.array(own(0))).otherwise(every(0)))).withColumn("q", F.explode(F.when(held, every(1)).otherwise(F.array(own(1)))))
 
     def near(t: pa.Table) -> pa.Table:
-        v, ids = t.column("v").combine_chunks(), t.column("id").combine_chunks()
-        x = np.asarray(v.flatten(), np.float64).reshape(len(v), -1)
-        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        u, where = x.astype(np.float32), t.column("at").to_numpy()
-        a = np.nonzero(where == t.column("lo")[0].as_py())[0]
-        b = np.nonzero(where == t.column("hi")[0].as_py())[0]
-        same, held, left, right, scores = t.column("lo")[0] == t.column("hi")[0], u[b].T, [], [], []
+        ids, role = t.column("id").combine_chunks(), t.column("role").to_numpy()
+        x = _units(t.column("v"))
+        u, names = x.astype(np.float32), np.array(ids.to_pylist(), dtype=object)
+        b, a = np.nonzero(role == 0)[0], np.nonzero(role != 0)[0]
+        held, left, right, scores = u[b].T, [], [], []
         for k in range(0, len(a), 512):
             i, j = np.nonzero(u[a[k : k + 512]] @ held >= least - 1e-5)
-            i += k
-            if same:
-                i, j = i[i < j], j[i < j]
-            i, j = a[i], b[j]
+            i, j = a[i + k], b[j]
+            once = (role[i] == 2) | (names[i] < names[j]).astype(bool)
+            i, j = i[once], j[once]
             s = np.einsum("ij,ij->i", x[i], x[j])
             ok = s >= least
             left.append(i[ok]), right.append(j[ok]), scores.append(s[ok])
         i, j, s = (np.concatenate(y) if y else np.zeros(0, d) for y, d in ((left, np.int64), (right, np.int64), (scores, np.float64)))
         return pa.table([ids.take(pa.array(i)), ids.take(pa.array(j)), pa.array(s)], ["p", "q", "s"])
 
-    found = sides.groupBy("lo", "hi").applyInArrow(near, f"p {kind}, q {kind}, s double")
+    found = split.groupBy("cell", "h", "q").applyInArrow(near, f"p {kind}, q {kind}, s double")
     return found.select(F.least("p", "q").alias("id_a"), F.greatest("p", "q").alias("id_b"), F.col("s").alias("score"))
 
 

@@ -595,37 +595,18 @@ def _hybrid(s, d, k):
     return fusion.rrf(near, found, k)
 
 
-def _record_knn_sql(k: int, least: str) -> str:
-    return f"""WITH v AS {_RV} SELECT query_id, id, round(s, 6) AS score, rank::INT AS rank FROM (SELECT query_id, id, s, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, id) AS rank FROM
-(SELECT q.id AS query_id, e.id AS id, list_cosine_similarity(e.v, q.v) AS s FROM v e JOIN v q ON md5(q.id) LIKE '0%' AND q.id <> e.id)) WHERE rank <= {k} AND s {least}"""
-
-
-def _record_knn(s, d, k):
-    v = _record_vectors(s, d)
-    return vectors.knn(v, v.filter(F.startswith(F.md5("id"), F.lit("0"))), k, "cosine")
-
-
-@query(_record_knn_sql(10, ">= 0.9"))
+@query(f"""WITH v AS {_RV}, c AS (SELECT v, min(id) AS id FROM v GROUP BY v)
+SELECT 'near' AS kind, id_a, id_b, round(s, 6) AS score FROM (SELECT a.id AS id_a, b.id AS id_b, list_cosine_similarity(a.v, b.v) AS s FROM c a JOIN c b ON a.id < b.id) WHERE s >= 0.9
+UNION ALL SELECT 'copy', c.id, v.id, 1.0 FROM v JOIN c USING (v) WHERE v.id <> c.id""")
 def near_dup_pairs(s, d):
-    """Searches: the query set is the sixteenth of the ids whose digest begins with 0, against all rows."""
-    return _record_knn(s, d, 10).filter("score >= 0.9")
-
-
-@query()
-def near_dup_join(s, d):
-    """The whole job of which near_dup_pairs is a search: all records against all, every partner at 0.9 or more."""
+    """All records against all, every partner at 0.9 or more: pairs of different vectors, and copies under the least id."""
     return vectors.similar(_record_vectors(s, d), 0.9)
 
 
-@query(_record_knn_sql(1, "> 0.98"))
+@query(f"""WITH v AS {_RV} SELECT query_id, id, round(s, 6) AS score, 1 AS rank FROM (SELECT query_id, id, s, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, id) AS rank FROM
+(SELECT q.id AS query_id, e.id AS id, list_cosine_similarity(e.v, q.v) AS s FROM v e JOIN v q ON q.id <> e.id)) WHERE rank = 1 AND s > 0.98""")
 def summary_semantic_cache(s, d):
-    """The nearest other record of each asked one, if it is similar enough to share its summary."""
-    return _record_knn(s, d, 1).filter("score > 0.98")
-
-
-@query()
-def summary_cache_all(s, d):
-    """The whole job of which summary_semantic_cache is a search: every record asks."""
+    """The nearest other record of every record, if it is similar enough to share its summary."""
     return vectors.nearest_above(_record_vectors(s, d), 0.98)
 
 
