@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from ..session import written
 
 QUERY_BLOCK = 2048
-JOIN_BLOCK = 8192
+JOIN_BLOCK = 12_288
 #: Pivots that a join by cosine chooses from, the sample that they are fitted on, and the costs it weighs.
-PIVOTS, PIVOT_SAMPLE, PAIR_NS, COPY_NS = (1, 4, 16, 64, 256, 1024), 40_960, 5, 5000
+PIVOTS, PIVOT_SAMPLE, PAIR_NS, COPY_NS = (1, 4, 16, 64, 256, 1024), 16_384, 5, 10_000
 
 
 def norm(v: Column) -> Column:
@@ -138,25 +138,25 @@ class Cells:
         return home, near & (np.arange(len(self.p))[None, :] > home[:, None])
 
 
-def fit_cells(sample: np.ndarray, rows: int, least: float, seed: int = 3) -> Cells:
+def fit_cells(sample: np.ndarray, rows: int, least: float, block: int = JOIN_BLOCK, seed: int = 3) -> Cells:
     """Cells for a collection of ``rows`` vectors: of several numbers of pivots the one that, judged by the
-    sample of unit vectors, costs least in comparisons and in copies sent to other cells together."""
+    sample of unit vectors, costs least in comparisons and in copies sent to cells and blocks together."""
     rng, best, dim = np.random.default_rng(seed), None, sample.shape[1]
     for k in PIVOTS:
         if best is not None and k * 8 > len(sample):
             break
-        p = sample[rng.choice(len(sample), k, replace=False)]
-        part = sample[: 40 * k]
+        p, part = sample[rng.choice(len(sample), k, replace=False)], sample[: 16 * k]
         for _ in range(5 if k > 1 else 0):
             at = (part @ p.T).argmax(1)
-            sums = np.zeros((k, dim))
-            np.add.at(sums, at, part)
+            sums = np.stack([np.bincount(at, part[:, c], k) for c in range(dim)], 1)
             n = np.linalg.norm(sums, axis=1, keepdims=True)
             p = np.where(n > 1e-9, sums / np.maximum(n, 1e-9), p)
         cells = Cells(p, least)
         home, near = cells.of(sample[:4096])
-        share = np.bincount(home, minlength=k) / len(home)
-        cost = rows * ((near @ share).mean() + (share**2).sum() / 2) * PAIR_NS + (1 + near.sum(1).mean()) * COPY_NS
+        share, visits = np.bincount(home, minlength=k) / len(home), near.mean(0)
+        holds, asks = (np.maximum(1, np.ceil(x * rows / block)) for x in (share, visits))
+        pairs = rows * ((visits * share).sum() + (share**2).sum() / 2)
+        cost = pairs * PAIR_NS + ((share * (holds + asks - 1)).sum() + (visits * holds).sum()) * COPY_NS
         if best is None or cost < best[0]:
             best = cost, cells
     return best[1]
@@ -177,7 +177,7 @@ def cosine_pairs(vectors: DataFrame, least: float, block: int = JOIN_BLOCK, samp
     fit = vectors.select("v", F.xxhash64("id").alias("h")).orderBy("h").limit(sample).toArrow()
     if not len(fit):
         return spark.createDataFrame([], f"id_a {kind}, id_b {kind}, score double")
-    cells = spark.sparkContext.broadcast(fit_cells(_units(fit.column("v")), n, least))  # at most max(PIVOTS) vectors
+    cells = spark.sparkContext.broadcast(fit_cells(_units(fit.column("v")), n, least, block))  # at most max(PIVOTS) vectors
 
     def count(batches):
         total = np.zeros((len(cells.value.p), 2), np.int64)
@@ -190,7 +190,7 @@ def cosine_pairs(vectors: DataFrame, least: float, block: int = JOIN_BLOCK, samp
 
     src = vectors.select("id", "v")
     sizes = src.mapInArrow(count, "cell int, holds long, visits long").groupBy("cell").agg(F.sum("holds"), F.sum("visits")).collect()  # a row a cell
-    parts = {r[0]: (max(1, -(-r[1] // block)), max(1, -(-(r[1] + r[2]) // block))) for r in sizes}
+    parts = {r[0]: tuple(max(1, -(-x // block)) for x in r[1:]) for r in sizes}
 
     def route(batches):
         for b in batches:
@@ -198,31 +198,36 @@ def cosine_pairs(vectors: DataFrame, least: float, block: int = JOIN_BLOCK, samp
                 x = b.slice(at, 4096)
                 home, near = cells.value.of(_units(x.column(1)))
                 who, cell = np.nonzero(near)
-                m = len(home)
-                who, cell = np.concatenate((np.arange(m), np.arange(m), who)), np.concatenate((home, home, cell))
-                # 0: held by its cell; 1: the same asking there; 2: asking from an earlier cell
-                role = np.repeat(np.array([0, 1, 2], np.int32), (m, m, len(who) - 2 * m))
+                who, cell = np.concatenate((np.arange(len(home)), who)), np.concatenate((home, cell)).astype(np.int32)
+                held = np.arange(len(who)) < len(home)  # by its cell; the others visit
                 for a in range(0, len(who), 16_384):
                     w = pa.array(who[a : a + 16_384])
-                    yield pa.RecordBatch.from_arrays([pa.array(cell[a : a + 16_384].astype(np.int32)), pa.array(role[a : a + 16_384]), x.column(0).take(w), x.column(1).take(w)], ["cell", "role", "id", "v"])
-
-    routed = src.mapInArrow(route, f"cell int, role int, id {kind}, v {vec}")
-    of = lambda i: F.create_map(*[F.lit(v) for c, p in parts.items() for v in (c, p[i])])[F.col("cell")]
-    own = lambda i: F.pmod(F.xxhash64("id"), of(i)).cast("int")
-    every = lambda i: F.sequence(F.lit(0), (of(i) - 1).cast("int"))
-    held = F.col("role") == 0
-    split = routed.withColumn("h", F.explode(F.when(held, F.array(own(0))).otherwise(every(0)))).withColumn("q", F.explode(F.when(held, every(1)).otherwise(F.array(own(1)))))
+                    yield pa.RecordBatch.from_arrays([pa.array(cell[a : a + 16_384]), pa.array(held[a : a + 16_384]), x.column(0).take(w), x.column(1).take(w)], ["cell", "held", "id", "v"])
+
+    routed = src.mapInArrow(route, f"cell int, held boolean, id {kind}, v {vec}")
+    size = lambda i: F.create_map(*[F.lit(v) for c, p in parts.items() for v in (c, p[i])])[F.col("cell")].cast("int")
+    # the held of a cell lie in blocks, and each two blocks are a group, each block with itself too; the first block
+    # of visitors goes to those, each further one makes a group of its own with every block of the held
+    at = F.pmod(F.xxhash64("id"), F.when(F.col("held"), size(0)).otherwise(size(1))).cast("int")
+    group = lambda a, b: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    own = F.transform(upto(F.col("blocks")), lambda o: group(F.least(o, F.col("at")), F.greatest(o, F.col("at"))))
+    more = F.when(F.col("visitors") > 1, F.transform(F.sequence(F.lit(1), F.col("visitors") - 1), lambda q: group(F.col("at"), F.col("blocks") + q - 1))).otherwise(F.array().cast("array<struct<a:int,b:int>>"))
+    to = F.transform(upto(F.col("blocks")), lambda h: group(h, F.when(F.col("at") == 0, h).otherwise(F.col("blocks") + F.col("at") - 1)))
+    split = routed.withColumns({"at": at, "blocks": size(0), "visitors": size(1)}).withColumn("g", F.explode(F.when(F.col("held"), F.concat(own, more)).otherwise(to)))
+    split = split.select("cell", F.col("g.a").alias("a"), F.col("g.b").alias("b"), "held", "at", "id", "v")
 
     def near(t: pa.Table) -> pa.Table:
-        ids, role = t.column("id").combine_chunks(), t.column("role").to_numpy()
+        ids, held, at = t.column("id").combine_chunks(), t.column("held").to_numpy(), t.column("at").to_numpy()
         x = _units(t.column("v"))
         u, names = x.astype(np.float32), np.array(ids.to_pylist(), dtype=object)
-        b, a = np.nonzero(role == 0)[0], np.nonzero(role != 0)[0]
-        held, left, right, scores = u[b].T, [], [], []
+        first, second = t.column("a")[0].as_py(), t.column("b")[0].as_py()
+        b, a = np.nonzero(held & (at == first))[0], np.nonzero(~held | (at == second))[0]
+        across, right_side, left, right, scores = first != second, u[b].T, [], [], []
         for k in range(0, len(a), 512):
-            i, j = np.nonzero(u[a[k : k + 512]] @ held >= least - 1e-5)
+            i, j = np.nonzero(u[a[k : k + 512]] @ right_side >= least - 1e-5)
             i, j = a[i + k], b[j]
-            once = (role[i] == 2) | (names[i] < names[j]).astype(bool)
+            once = across | ~held[i] | (names[i] < names[j]).astype(bool)
             i, j = i[once], j[once]
             s = np.einsum("ij,ij->i", x[i], x[j])
             ok = s >= least
@@ -230,7 +235,7 @@ def cosine_pairs(vectors: DataFrame, least: float, block: int = JOIN_BLOCK, samp
         i, j, s = (np.concatenate(y) if y else np.zeros(0, d) for y, d in ((left, np.int64), (right, np.int64), (scores, np.float64)))
         return pa.table([ids.take(pa.array(i)), ids.take(pa.array(j)), pa.array(s)], ["p", "q", "s"])
 
-    found = split.groupBy("cell", "h", "q").applyInArrow(near, f"p {kind}, q {kind}, s double")
+    found = split.groupBy("cell", "a", "b").applyInArrow(near, f"p {kind}, q {kind}, s double")
     return found.select(F.least("p", "q").alias("id_a"), F.greatest("p", "q").alias("id_b"), F.col("s").alias("score"))
 
 
