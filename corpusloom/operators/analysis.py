@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.code import package_of
+from .ordered import running
+
+#: Characters after which joined texts begin a new part.
+PART = 1_000_000
 
 # Modules of the runtime that no manifest declares.
 NODE_BUILTINS = (
@@ -107,7 +111,13 @@ def package_summary(chunks: DataFrame) -> DataFrame:
     )
 
 
-def joined_text(rows: DataFrame, key: list[str], order: list[str], text: Column, separator: str) -> DataFrame:
-    """(key, text): texts of a key in order with a separator between; one row a key is what is asked for."""
-    lists = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*order, text.alias("_t")))).alias("l"))
-    return lists.select(*key, F.array_join(F.transform("l", lambda e: e["_t"]), separator).alias("text"))
+def joined_text(rows: DataFrame, key: list[str], order: list[str], text: Column, separator: str, most: int = PART) -> DataFrame:
+    """(key, part, text, texts): texts of a key in order with a separator between, and how many they are.
+
+    A part begins after every ``most`` characters, so that no key, however many texts it has, has to fit one row;
+    joined by the separator the parts of a key are all of its text. A text is never cut. Null texts are left out.
+    """
+    each = running(rows.select(*key, *order, text.alias("_t")).filter("_t is not null"), key, F.length("_t") + len(separator), *[F.col(c) for c in order])
+    part = F.floor((F.col("cum") - F.length("_t") - len(separator)) / most).cast("int")
+    lists = each.groupBy(*key, part.alias("part")).agg(F.array_sort(F.collect_list(F.struct(*order, "rn", F.col("_t")))).alias("l"))
+    return lists.select(*key, "part", F.array_join(F.transform("l", lambda e: e["_t"]), separator).alias("text"), F.size("l").alias("texts"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from .ordered import running
 
 RRF, OVERSAMPLE = 60, 3
 
@@ -33,7 +34,5 @@ def overlap(query: list[str], text: Column) -> Column:
 
 
 def within_budget(hits: DataFrame, size: Column, most: int, group: list[str], *order: Column) -> DataFrame:
-    """Rows while their sizes add up to at most ``most`` in each group; the first always stays."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    out = hits.withColumn("cum", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("rn", F.row_number().over(w))
-    return out.filter((F.col("cum") <= most) | (F.col("rn") == 1))
+    """Rows while their sizes add up to at most ``most`` in each group; the first always stays. Groups may have any size."""
+    return running(hits, group, size, *order).filter((F.col("cum") <= most) | (F.col("rn") == 1))

@@ -743,19 +743,22 @@ def package_summary(s, d):
     return analysis.package_summary(table(s, d, "code_chunks"))
 
 
-@query("""SELECT project_id, path, md5(string_agg('File: ' || path || chr(10) || 'Content: ' || content || chr(10) || '---', chr(10) ORDER BY id, content)) AS digest FROM (SELECT DISTINCT project_id, path, id, content FROM code_chunks) GROUP BY project_id, path""")
+def _joined_sql(key: str, order: str, separator: str, rows: str) -> str:
+    return f"""SELECT {key}, part, md5(string_agg(t, {separator} ORDER BY {order})) AS digest, count(*)::INT AS texts FROM
+(SELECT *, ((sum(length(t) + length({separator})) OVER (PARTITION BY {key} ORDER BY {order} ROWS UNBOUNDED PRECEDING) - length(t) - length({separator})) // {analysis.PART})::INT AS part FROM ({rows})) GROUP BY {key}, part"""
+
+
+@query(_joined_sql("project_id, path", "id, content", "chr(10)", "SELECT DISTINCT project_id, path, id, content, 'File: ' || path || chr(10) || 'Content: ' || content || chr(10) || '---' AS t FROM code_chunks WHERE content IS NOT NULL"))
 def knowledge_concat(s, d):
     c = table(s, d, "code_chunks").select("project_id", "path", "id", "content").distinct()
     t = F.concat(F.lit("File: "), "path", F.lit("\nContent: "), "content", F.lit("\n---"))
-    return analysis.joined_text(c, ["project_id", "path"], ["id", "content"], t, "\n").select("project_id", "path", F.md5("text").alias("digest"))
+    return analysis.joined_text(c, ["project_id", "path"], ["id", "content"], t, "\n").select("project_id", "path", "part", F.md5("text").alias("digest"), "texts")
 
 
-@query(f"""SELECT project_id, md5(string_agg(text, chr(10) || '---' || chr(10) ORDER BY id, text)) AS digest, count(*) AS contexts FROM
-(SELECT DISTINCT id, {_META.format('project_id')} AS project_id, content AS text FROM records WHERE {_META.format('type')} = 'manual_context') WHERE text IS NOT NULL GROUP BY project_id""")
+@query(_joined_sql("project_id", "id, t", "chr(10) || '---' || chr(10)", f"SELECT DISTINCT id, {_META.format('project_id')} AS project_id, content AS t FROM records WHERE {_META.format('type')} = 'manual_context' AND content IS NOT NULL"))
 def context_join(s, d):
-    c = project_context(s, d).filter("text is not null")
-    joined = analysis.joined_text(c, ["project_id"], ["id", "text"], F.col("text"), "\n---\n")
-    return joined.join(c.groupBy("project_id").agg(F.count(F.lit(1)).alias("contexts")), "project_id").select("project_id", F.md5("text").alias("digest"), "contexts")
+    joined = analysis.joined_text(project_context(s, d), ["project_id"], ["id", "text"], F.col("text"), "\n---\n")
+    return joined.select("project_id", "part", F.md5("text").alias("digest"), "texts")
 
 
 # one literal rule beside those of the table, so that some file breaks one

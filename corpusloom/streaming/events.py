@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
+from ..operators.ordered import bursts
+
 # Extensions and directories of interest.
 EXTENSIONS = ("go", "rs", "js", "ts", "tsx", "php", "py", "md")
 EXCLUDED = ("/node_modules/", "/dist/", "/build/", "/.next/", "/generated/prisma/", "/target/")
@@ -57,11 +59,7 @@ def is_interesting(kind: Column, path: Column, kinds: tuple[str, ...] = ("modify
 
 def debounce(events: DataFrame, key: list[str], ts: str = "ts", quiet_ms: int = QUIET_MS) -> DataFrame:
     """(key, first_ts, last_ts, n): bursts of a key, which end when nothing follows for longer than ``quiet_ms``."""
-    w = Window.partitionBy(*key).orderBy(ts)
-    gap = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.lag(ts).over(w).cast("timestamp"))
-    burst = events.withColumn("_new", F.when(gap.isNull() | (gap > quiet_ms * 1000), 1).otherwise(0))
-    burst = burst.withColumn("_b", F.sum("_new").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
-    return burst.groupBy(*key, "_b").agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count(F.lit(1)).alias("n")).drop("_b")
+    return bursts(events, key, ts, quiet_ms * 1000)
 
 
 def debounce_stream(events: DataFrame, key: list[str], ts: str = "ts", quiet_ms: int = QUIET_MS, late: str = "10 seconds") -> DataFrame:
