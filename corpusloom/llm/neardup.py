@@ -135,7 +135,9 @@ def similar(texts: DataFrame, width: int = WIDTH, least: float = LEAST) -> tuple
     rows. All links between different classes are found.
     """
     spark = texts.sparkSession
-    base = texts.select("id", normal_words(F.col("text")).alias("text")).filter("id is not null and text is not null and text <> ''").withColumn("key", F.sha2("text", 256))
+    # normalised once, for the classes and for their members
+    words = texts.select("id", normal_words(F.col("text")).alias("text")).filter("id is not null and text is not null and text <> ''")
+    base = written(words.withColumn("key", F.unhex(F.sha2("text", 256))), "words")
     classes = written(base.groupBy("key").agg(F.first("text").alias("text")).withColumn("n", F.monotonically_increasing_id()), "texts")
     members = base.select("key", "id").distinct().join(classes.select("key", "n"), "key").select("n", "id")
     level = spark.sparkContext.broadcast(_sketch(classes, width))  # 2**SKETCH_BITS bytes
