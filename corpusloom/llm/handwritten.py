@@ -213,6 +213,36 @@ def _down(df: DataFrame, table: np.ndarray) -> DataFrame:
     return df.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", t array<double>")
 
 
+def _depth(col):
+    return F.when(col == "", 0).otherwise(F.size(F.split(col, "/")))
+
+
+def _totals(levels: DataFrame) -> DataFrame:
+    """(project_id, dir, t): the total belief of each directory, from beliefs ``b`` and messages ``m`` of itself and
+    those above it, each at its ``level``; that of an absolute path has an empty name at two levels. A directory meets them all in one join, as many rows as it is deep; those above, however
+    many lie below them, are sent out in ``SALT`` parts."""
+    names = F.split("dir", "/")
+    above = F.transform(F.sequence(F.lit(0), _depth(F.col("dir"))), lambda k: F.struct(k.alias("k"), F.array_join(F.slice(names, F.lit(1), k), "/").alias("a")))
+    chain = levels.filter(F.col("level") == _depth(F.col("dir"))).select("project_id", "dir", F.pmod(F.xxhash64("dir"), F.lit(SALT)).cast("int").alias("_s"), F.explode(above).alias("x")).select("project_id", "dir", "_s", F.col("x.k").alias("level"), "x.a")
+    shared = levels.select("project_id", "level", F.col("dir").alias("a"), "b", "m", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_s"))
+    met = chain.join(shared, ["project_id", "level", "a", "_s"]).groupBy("project_id", "dir").agg(F.array_sort(F.collect_list(F.struct("level", "b", "m"))).alias("c"))
+    root = np.log(ROOT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            if x.num_rows:
+                c = x.column(2)
+                flat, n = c.flatten(), np.diff(c.offsets.to_numpy())
+                b, m, at = _rows(flat.field("b")), _rows(flat.field("m")), np.cumsum(n) - n
+                t = b[at] + root
+                for k in range(1, int(n.max())):
+                    i = np.flatnonzero(n > k)
+                    t[i] = b[at[i] + k] + _pass(t[i] - m[at[i] + k], DIRECTORY.T)
+                yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), _list(t)], ["project_id", "dir", "t"])
+
+    return met.mapInArrow(run, "project_id string, dir string, t array<double>")
+
+
 def _parent(col):
     return F.when(F.instr(col, "/") > 0, F.regexp_replace(col, r"/[^/]*$", "")).otherwise(F.lit(""))
 
@@ -221,8 +251,8 @@ def labels(files: DataFrame) -> DataFrame:
     """(project_id, path, label, confidence): what each file most likely is.
 
     Files and directories are the variables of one tree for each project. Evidence goes up level by level,
-    summed for each directory before it is sent on, and comes down again, so that parents and siblings count;
-    on trees this is exact. Of repeated rows of a file the latest content counts; null contents count as
+    summed for each directory before it is sent on, and comes down along each path, so that parents and siblings
+    count; on trees this is exact. Of repeated rows of a file the latest content counts; null contents count as
     empty; null keys give no rows.
     """
 
@@ -243,8 +273,7 @@ def labels(files: DataFrame) -> DataFrame:
                 e = np.stack([directory_evidence(d.split("/")) for d in x.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), _list(_rows(x.column(2)) + e)], ["project_id", "dir", "b"])
 
-    depth = F.when(F.col("dir") == "", 0).otherwise(F.size(F.split("dir", "/")))
-    from_files = written(leaf.groupBy("project_id", "dir").agg(_sum("m", "s")).withColumn("depth", depth), "directories")
+    from_files = written(leaf.groupBy("project_id", "dir").agg(_sum("m", "s")).withColumn("depth", _depth(F.col("dir"))), "directories")
     deepest = from_files.agg(F.max("depth")).first()[0]
     if deepest is None:
         return files.sparkSession.createDataFrame([], "project_id string, path string, label string, confidence double")
@@ -255,17 +284,11 @@ def labels(files: DataFrame) -> DataFrame:
             here = here.unionByName(above.select("project_id", _parent(F.col("dir")).alias("dir"), F.col("m").alias("s")))
         belief = here.groupBy("project_id", "dir").agg(_sum("s", "b")).mapInArrow(name, "project_id string, dir string, b array<double>")
         above = levels[d] = written(_up(belief, DIRECTORY), f"up-{d}")
-    root = np.log(ROOT)
-    total = levels[0].select("project_id", "dir", F.transform(F.arrays_zip(F.col("b"), F.array(*[F.lit(float(v)) for v in root]).alias("r")), lambda z: z["b"] + z["r"]).alias("t"))
-    totals = [total := written(total, "down-0")]
-    for d in range(1, deepest + 1):
-        child = levels[d].withColumn("_p", _parent(F.col("dir")))
-        up = total.select("project_id", F.col("dir").alias("_p"), "t")
-        total = written(_down(child.join(up, ["project_id", "_p"]).select("project_id", "dir", "b", "m", "t"), DIRECTORY), f"down-{d}")
-        totals.append(total)
-    every = totals[0]
-    for t in totals[1:]:
-        every = every.unionByName(t)
+    every = None
+    for d, level in levels.items():
+        level = level.select("project_id", F.lit(d).alias("level"), "dir", "b", "m")
+        every = level if every is None else every.unionByName(level)
+    every = _totals(every)
     # a directory may hold a third of all files: its belief goes to every part of them
     shared = every.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     parts = leaf.withColumn("_s", F.pmod(F.xxhash64("path"), F.lit(SALT)).cast("int"))

@@ -61,6 +61,8 @@ def test_rows(spark):
     want = [("p", f"vendor/pkg/f{i}.py") for i in range(4)] + [("p", "src/g.py"), ("p", "internal/generated/k.go"), ("p", "dist/l.bundle.js"), ("q", "top.js")]
     assert rows(H.not_handwritten(files(spark, data))) == sorted(want, key=repr)
     assert H.not_handwritten(files(spark, data).limit(0)).count() == 0
+    odd = [("r", f, CODE) for f in ("/x/y.py", "/z.py", "w.py", "a//b/c.py", "a/b/d.py", "/vendor/pkg/e.py")]
+    assert rows(H.labels(files(spark, odd)).select("path", "label")) == sorted([(f, "vendored" if "vendor" in f else "handwritten") for _, f, _ in odd], key=repr)
 
 
 def test_a_few_marked_files_do_not_mark_their_directory(spark):
