@@ -169,9 +169,10 @@ def cosine_pairs(vectors: DataFrame, least: float, block: int = JOIN_BLOCK, samp
     each is compared within its cell and goes to the later cells that can hold a partner. How many those are depends
     on the data: few for high thresholds or grouped vectors, all in the worst case, where the work grows with the square
     of the rows. Cells are worked in blocks of about ``block``. Single precision with a margin names candidates;
-    doubles decide. Ids are unique and ``least`` is positive.
+    doubles decide. Ids are unique, vectors of one length, ``least`` is positive; null ids and vectors have no pairs.
     """
     spark = vectors.sparkSession
+    vectors = vectors.filter("id is not null and v is not null")
     kind, vec = (dict(vectors.dtypes)[c] for c in ("id", "v"))
     n = vectors.count()
     fit = vectors.select("v", F.xxhash64("id").alias("h")).orderBy("h").limit(sample).toArrow()

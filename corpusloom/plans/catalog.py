@@ -730,6 +730,16 @@ def impl_gap(s, d):
     return _hybrid(s, d, 10).join(_records(s, d), "id").select("id", F.coalesce(F.nullif("type", F.lit("")), F.lit("code")).alias("category"), "path")
 
 
+@query(f"""SELECT substring(trim(regexp_extract(t, '^\\s*([^.!?\\n]+[.!?]?)', 1), ' '), 1, 200) AS summary, n FROM (SELECT string_agg(text, chr(10) || '---' || chr(10) ORDER BY score DESC, id) AS t, count(*)::INT AS n
+FROM ({_hybrid_sql(5)}) h JOIN {_REC} r USING (id) WHERE text IS NOT NULL) WHERE n > 0""")
+def summarized_context(s, d):
+    """The texts of the five best hits, joined and summarised."""
+    hits = _hybrid(s, d, 5).join(_records(s, d), "id").filter("text is not null")
+    # five rows at most
+    joined = hits.agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "id", "text"))).alias("l"), F.count(F.lit(1)).cast("int").alias("n")).filter("n > 0")
+    return joined.select(text.summary(F.array_join(F.transform("l", lambda e: e["text"]), "\n---\n")).alias("summary"), "n")
+
+
 @query("""SELECT symbol, id, path FROM (SELECT symbol, id, path, row_number() OVER (PARTITION BY symbol ORDER BY path, id) AS rn FROM (SELECT DISTINCT unnest(symbols) AS symbol, id, path FROM code_chunks)) WHERE rn = 1""")
 def entity_lookup(s, d):
     e = table(s, d, "code_chunks").select(F.explode("symbols").alias("symbol"), "path", "id")

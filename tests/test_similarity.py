@@ -66,7 +66,7 @@ def test_cells_lose_no_pair(spark, monkeypatch, pivots, least):
     u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
     want = sorted((f"{i:03d}", f"{j:03d}") for i, j in zip(*np.nonzero(u @ u.T >= least)) if i < j)
     monkeypatch.setattr(vectors, "PIVOTS", pivots)
-    df = spark.createDataFrame([(f"{i:03d}", v.tolist()) for i, v in enumerate(x)], "id string, v array<double>")
+    df = spark.createDataFrame([(f"{i:03d}", v.tolist()) for i, v in enumerate(x)] + [(None, [1.0] * 12), ("null", None)], "id string, v array<double>")
     for block in (40, 8192):
         assert sorted((a.id_a, a.id_b) for a in vectors.cosine_pairs(df, least, block=block).collect()) == want
 
