@@ -103,14 +103,14 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tu
         if r < k:
             left[r] = j
     cores = [(start[i], end[i]) for i in range(k) if alive[i]]
-    if len(cores) > 1 and cores[0][1] <= overlap:  # else the first piece would lie within the second
-        cores[:2] = [(0, cores[1][1])]
     out = [cores[0]]
     for a, b in cores[1:]:
         at = max(a - overlap, 0)
         nl = text.find("\n", max(at - 1, 0), a - overlap // 2)
         if at and nl >= 0 and a - nl - 1 >= overlap * 3 // 5:
             at = nl + 1
+        while out and at <= out[-1][0]:  # a core so short that it lies within the next piece
+            out.pop()
         out.append((at, b))
     return out
 

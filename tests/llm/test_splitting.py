@@ -1,12 +1,13 @@
 import pytest
 from conftest import rows
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from corpusloom.llm import splitting as S
 
 
 @given(st.text(st.sampled_from("ab {}\n;😀\t"), max_size=900), st.integers(20, 120), st.integers(0, 15))
+@example(";;;\n;;;;;;;; ;;;;;;;;", 20, 11)
 @settings(max_examples=150, deadline=None)
 def test_spans_cover_and_fit(text, limit, overlap):
     spans = S.split_text(text, limit, overlap)
